@@ -1,0 +1,4 @@
+"""Registered queries over the reference's operators."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
