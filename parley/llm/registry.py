@@ -1,8 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op6_url_filter": op6_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
 
