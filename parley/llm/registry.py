@@ -1,9 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .secret_scan import op3_secret_scan
 from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
