@@ -1,10 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .bpe import op10_bpe
+from .packing import op7_pack
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .secret_scan import op3_secret_scan
 from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op7_pack": op7_pack,
+    "op10_bpe": op10_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op9_quality_rules": op9_quality_rules,
