@@ -4,6 +4,7 @@ from .bpe import op10_bpe
 from .packing import op7_pack
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .secret_scan import op3_secret_scan
+from .toxicity import op8_toxicity
 from .url_filter import op6_url_filter
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
