@@ -1,6 +1,7 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .bpe import op10_bpe
+from .near_dup import OP5_SQL, op5_near_dup
 from .packing import op7_pack
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .secret_scan import op3_secret_scan
@@ -8,6 +9,7 @@ from .toxicity import op8_toxicity
 from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op5_near_dup": op5_near_dup,
     "op7_pack": op7_pack,
     "op10_bpe": op10_bpe,
     "op3_secret_scan": op3_secret_scan,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_near_dup": OP5_SQL,
     "op9_quality_rules": OP9_SQL,
 }
