@@ -5,10 +5,12 @@ from .near_dup import OP5_SQL, op5_near_dup
 from .packing import op7_pack
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .secret_scan import op3_secret_scan
+from .substring_dedup import op1_substring_dedup
 from .toxicity import op8_toxicity
 from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_near_dup": op5_near_dup,
     "op7_pack": op7_pack,
     "op10_bpe": op10_bpe,
