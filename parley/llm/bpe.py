@@ -16,10 +16,12 @@ encoded as those tokens, as the tokenizers library does by default.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 #: Entries of each cache of a Python worker; a full cache starts anew.
-CACHE = 400_000
+CACHE = 800_000
 #: Characters of text whose new words are put into one trie.
 BATCH_CHARS = 1_000_000
 END = "</w>"
@@ -35,7 +37,6 @@ END = "</w>"
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _WHITE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+\Z")
-_WORD = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-ÿ]+\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
@@ -64,7 +65,6 @@ class TrieEncoder:
     def __init__(self, vocab: dict[str, int], merges: list):
         self.vocab = vocab
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
-        self.longest = max(map(len, vocab), default=1)
         rank = {}
         self.made: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -76,6 +76,20 @@ class TrieEncoder:
         self.rank = rank  # 0 for symbols that no merge makes
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        # a token that its own string isn't encoded to is in no encoding
+        stand = {x: t for x, t in vocab.items() if self.stands(t)}
+        inner = {x: t for x, t in stand.items() if not x.endswith(END)}
+        final = {x[: -len(END)]: t for x, t in stand.items() if x.endswith(END)}
+        self.inner, self.final = inner.get, final.get
+        self.reach, self.reach_end = self._reach(inner).get, self._reach(final).get
+
+    @staticmethod
+    def _reach(tokens: dict[str, int]) -> dict[str, int]:
+        """The longest token by its last two characters."""
+        out: dict[str, int] = {}
+        for x in tokens:
+            out[x[-2:]] = max(len(x), out.get(x[-2:], 2))
+        return out
 
     def _apart(self, a: int, b: int, together: bool) -> bool:
         """Whether no merge joins the seam between ``a`` and ``b`` while their strings are built.
@@ -120,115 +134,160 @@ class TrieEncoder:
             self.whole[t] = known
         return known
 
-    def _state(self, path: str, i: int, states: list, mark: str) -> tuple[int, tuple[int, ...]]:
-        """Last token and encoding of ``path[:i]`` + mark, from the states of its shorter prefixes."""
-        get, fits, fit = self.vocab.get, self.fits.get, self.may_follow
-        for j in range(max(0, i - self.longest), i):
-            t = get(path[j:i] + mark)
-            if t is None:
-                continue
-            if j == 0:
-                if self.stands(t):
-                    return t, (t,)
-                continue
-            last, before = states[j]
-            ok = fits((last, t))
-            if (fit(last, t) if ok is None else ok) and self.stands(t):
-                return t, (*before, t)
-        raise ValueError(f"no encoding of {path[:i]!r}")
-
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct non-empty words of byte characters."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Encodings of distinct non-empty words of byte characters.
+
+        ``last[i]`` and ``codes[i]`` are the last token and the encoding of the path's first ``i`` characters, ``cuts[i]``
+        where that token starts. A longer prefix mostly extends the last token, so that start is tried first; the one
+        token that fits is found whatever the order.
+        """
         out: dict[str, tuple[int, ...]] = {}
-        states: list = [None]  # states[i]: of the prefix of i characters on the current path
+        inner, final = self.inner, self.final
+        fits, fit = self.fits.get, self.may_follow
+        reach, reach_end = self.reach, self.reach_end
+        last, codes, cuts = [-1], [()], [0]
         path = ""
         for word in sorted(words):
             n = len(word)
-            top = min(len(states) - 1, n - 1)
-            shared = 0
-            while shared < top and path[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for i in range(shared + 1, n):
-                states.append(self._state(word, i, states, ""))
+            top = min(len(last) - 1, n - 1)
+            i = 0
+            while i < top and path[i] == word[i]:
+                i += 1
+            del last[i + 1 :], codes[i + 1 :], cuts[i + 1 :]
             path = word
-            out[word] = self._state(word, n, states, END)[1]
+            while i < n:
+                i += 1
+                get = inner if i < n else final
+                j = cuts[i - 1]
+                t = get(word[j:i])
+                if t is not None and j:
+                    ok = fits((last[j], t))
+                    if not (fit(last[j], t) if ok is None else ok):
+                        t = None
+                if t is None:
+                    far = reach(word[i - 2 : i], 2) if i < n else reach_end(word[i - 2 : i], 2)
+                    for j in range(i - far if i > far else 0, i):
+                        t = get(word[j:i])
+                        if t is not None:
+                            if j == 0:
+                                break
+                            ok = fits((last[j], t))
+                            if fit(last[j], t) if ok is None else ok:
+                                break
+                    else:
+                        raise ValueError(f"no encoding of {word[:i]!r}")
+                if i < n:
+                    last.append(t)
+                    codes.append((*codes[j], t))
+                    cuts.append(j)
+                else:
+                    out[word] = (*codes[j], t)
         return out
 
 
 class Codec:
-    """A text's cuts and their encodings; ``make`` turns a cut's ids into what the cache keeps."""
+    """A text's cuts (by white space) and what each becomes.
 
-    def __init__(self, path: str, make: Callable[[list[int], list[str]], object]):
+    ``make``: "bytes" keeps a cut's ids as little-endian numbers, "texts" its ids and tokens as strings. ``engine``:
+    "trie" encodes new words by the traversal above, "library" by the tokenizers library's model.
+    """
+
+    def __init__(self, path: str, make: str, engine: str = "trie"):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lib = Tokenizer.from_file(path)
-        self.trie = TrieEncoder(spec["model"]["vocab"], spec["model"]["merges"])
-        self.names = {i: s for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: s for s, i in self.special.items()}
+        if engine == "trie":
+            self.encode = TrieEncoder(spec["model"]["vocab"], spec["model"]["merges"]).encode_words
+        else:
+            model = self.lib.model.tokenize
+            self.encode = lambda words: {w: [t.id for t in model(w)] for w in words}
+        names = {i: s for s, i in spec["model"]["vocab"].items()} | {i: s for s, i in self.special.items()}
+        numbers = {i: str(i) for i in names}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bytes = {b: ord(c) for b, c in byte_chars().items()}
-        self.make = make
-        self.cuts: dict[str, object] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.make = {
+            "bytes": lambda ids: array("I", ids).tobytes(),
+            "texts": lambda ids: (" ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])),
+        }[make]
+        self.cache: dict[str, object] = {}
 
     def pieces(self, cut: str) -> list[str]:
         """The pre-tokenizer's words of a text without white space, as byte characters."""
-        if _WORD.match(cut):
-            found = [cut.lower()]
-        elif _LATIN.match(cut):
-            found = _PIECES.findall(cut.lower())
-        else:  # whatever else: the library's own normalizer and pre-tokenizer
-            return [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(cut))]
-        table = self.bytes
-        return [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in found]
+        if cut.isascii():
+            return [cut.lower()] if cut.isalpha() else _PIECES.findall(cut.lower()) if _LATIN.match(cut) else self._by_library(cut)
+        if _LATIN.match(cut):
+            table = self.bytes
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in _PIECES.findall(cut.lower())]
+        return self._by_library(cut)
+
+    def _by_library(self, cut: str) -> list[str]:
+        """The library's own normalizer and pre-tokenizer, for whatever isn't plain."""
+        return [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(cut))]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.cuts) + len(new) > CACHE:
-            self.cuts.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        parts: list[tuple[str, list]] = []
-        wanted: set[str] = set()
+        """Encode new cuts. What is made here has no cycles, so the collector is kept from walking it."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            self._encode(new)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, new: set[str]) -> None:
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+        plain: dict[str, str] = {}
+        mixed: dict[str, list] = {}
+        special, pieces = self.special, self.pieces
         for cut in new:
-            row: list = []
-            for x in self.cut_special.split(cut) if self.cut_special and "<|" in cut else (cut,):
-                if x in self.special:
-                    row.append(self.special[x])
-                elif x:
-                    row += self.pieces(x)
-            parts.append((cut, row))
-            wanted.update(w for w in row if isinstance(w, str) and w not in self.words)
-        self.words.update(self.trie.encode_words(list(wanted)))
-        for cut, row in parts:
-            ids: list[int] = []
-            for w in row:
-                if isinstance(w, str):
-                    ids += self.words[w]
-                else:
-                    ids.append(w)
-            self.cuts[cut] = self.make(ids, [self.names[i] for i in ids])
-
-    def batch(self, texts: list[str | None]) -> Iterator[list]:
-        """Per text the cached values of its cuts, in order."""
+            if cut.isalpha() and cut.isascii():
+                plain[cut] = cut.lower()
+            elif "<|" in cut and self.cut_special:
+                mixed[cut] = row = []
+                for x in self.cut_special.split(cut):
+                    row += [special[x]] if x in special else pieces(x) if x else []
+            else:
+                mixed[cut] = pieces(cut)
+        wanted = set(plain.values())
+        for row in mixed.values():
+            wanted.update(row)
+        if special:
+            wanted.difference_update(special.values())
+        words = self.encode(wanted)
+        words.update((i, (i,)) for i in special.values())
+        make, cache = self.make, self.cache
+        for cut, w in plain.items():
+            cache[cut] = make(words[w])
+        for cut, row in mixed.items():
+            cache[cut] = make([i for w in row for i in words[w]])
+
+    def values(self, texts: list[str | None]) -> Iterator[list]:
+        """Per text what its cuts become, in order."""
         at = 0
         while at < len(texts):
-            end, size = at, 0
+            end, size, split, found, new = at, 0, [], [], set()
+            get = self.cache.get
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
                 size += len(texts[end] or "")
+                words = self._split(texts[end])
+                row = list(map(get, words))
+                if None in row:
+                    new.update([w for w, v in zip(words, row, strict=True) if v is None])
+                    split.append(words)
+                else:
+                    split.append(None)
+                found.append(row)
                 end += 1
-            split = [self._split(t) for t in texts[at:end]]
-            new = set().union(*(s for s in split)) - self.cuts.keys()
             if new:
                 self._learn(new)
-                if missing := set().union(*split) - self.cuts.keys():  # the cache was full
-                    self._learn(missing)
-            get = self.cuts.__getitem__
-            for s in split:
-                yield list(map(get, s))
+            for words, row in zip(split, found, strict=True):
+                if words is not None:
+                    row = [get(w) if v is None else v for w, v in zip(words, row, strict=True)]
+                yield row
             at = end
 
     @staticmethod
@@ -240,25 +299,17 @@ class Codec:
         return text.split()
 
 
-#: Of one Python worker, by vocabulary and kind of value.
+#: Of one Python worker.
 _CODECS: dict = {}
 
 
-def codec(path: str, make: Callable) -> Codec:
-    key = (path, make.__qualname__)
+def codec(path: str, make: str, engine: str = "trie") -> Codec:
+    key = (path, make, engine)
     if key not in _CODECS:
-        _CODECS[key] = Codec(path, make)
+        _CODECS[key] = Codec(*key)
     return _CODECS[key]
 
 
-def ids_and_names(ids: list[int], names: list[str]) -> tuple[int, str, str]:
-    return len(ids), " ".join(map(str, ids)), " ".join(names)
-
-
-def little_endian(ids: list[int], names: list[str]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
-
-
 def bpe_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """The general operator: per document its ids and the decoded text."""
     return _encoded(docs, key, text, path or default_path(), full=True)
@@ -273,12 +324,12 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, full: bool) -> Dat
     kind = dict(docs.select(key).dtypes)[key]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, ids_and_names)
+        c = codec(path, "texts")
         for b in batches:
             n, first, second = [], [], []
-            for row in c.batch(b.column(1).to_pylist()):
-                n.append(sum(x[0] for x in row))
-                ids, out = " ".join([x[1] for x in row]), " ".join([x[2] for x in row])
+            for row in c.values(b.column(1).to_pylist()):
+                ids, out = " ".join([x[0] for x in row]), " ".join([x[1] for x in row])
+                n.append(ids.count(" ") + 1 if ids else 0)
                 if full:
                     first.append(ids)
                     second.append(out)

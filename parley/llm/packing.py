@@ -1,6 +1,6 @@
 """Best-fit packing (operator 7): bounded-space online best-fit.
 
-A task encodes its documents, cuts only what is longer than a sequence, and places each piece in the open bin that it
+A task encodes its documents with the tokenizers library (each distinct word once, behind a bounded cache), cuts only what is longer than a sequence, and places each piece in the open bin that it
 fills best. Open bins are at most ``OPEN_BINS``; a bitset over free space (one big integer) finds the best fit in a
 shift; when a new bin is needed and all are open, the fullest closes. Pieces wait in a window of ``WINDOW`` and leave
 it longest first, so that long pieces open bins and short ones fill them.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import codec, default_path, little_endian
+from .bpe import codec, default_path
 from .common import read
 
 LENGTH = 4096
@@ -85,7 +85,7 @@ def pack(
     kind = dict(docs.select(key).dtypes)[key]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, little_endian)
+        c = codec(path, "bytes", "library")
         end = end_id.to_bytes(4, "little")
         bins = OpenBins(length, open_bins, TaskContext.get().partitionId() << 40)
         held: list[tuple] = []
@@ -101,9 +101,8 @@ def pack(
 
         for b in batches:
             key_type = b.schema.field(0).type
-            for k, row in zip(b.column(0).to_pylist(), c.batch(b.column(1).to_pylist()), strict=True):
-                row.append(end)
-                ids = b"".join(row)
+            for k, row in zip(b.column(0).to_pylist(), c.values(b.column(1).to_pylist()), strict=True):
+                ids = b"".join(row) + end
                 for i, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     piece = (k, i, at // 4, len(part) // 4, zlib.crc32(part))
