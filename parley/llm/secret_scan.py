@@ -187,8 +187,8 @@ def candidates(docs: DataFrame, rules: tuple[SecretRule, ...], text: str = "text
     return met.groupBy("tkey").agg(F.collect_set("kind").alias("kinds"))
 
 
-def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (s, o, e) by start, then rule order; places in code points."""
+def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """``docs`` with the column ``out``: array of (s, o, e) by start, then rule order; places in code points."""
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     found = candidates(docs, indexed, text).withColumnRenamed("tkey", "_secret_tkey").withColumnRenamed("kinds", "_secret_kinds")
     joined = docs.join(found, text_key(F.col(text)) == F.col("_secret_tkey"), "left")
@@ -201,15 +201,15 @@ def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, .
             parts.append(F.when(may, spans(whole, r, o)).otherwise(none))
         else:
             parts.append(spans(whole, r, o))
-    joined = joined.withColumn("secret_spans", F.array_sort(F.concat(*parts)))
+    joined = joined.withColumn(out, F.array_sort(F.concat(*parts)))
     return joined.drop("_secret_tkey", "_secret_kinds")
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret replaced; overlapping spans count as one. Rows and columns stay as they are."""
     columns = docs.columns
-    found = secret_spans(docs.withColumn("_secret_text", F.col(text)), "_secret_text", rules)
-    whole = F.col("_secret_text")
+    found = secret_spans(docs, text, rules, "_secret_spans")
+    whole = F.col(text)
 
     def cut(acc: Column, x: Column) -> Column:
         """at: end of what is done; an overlapping span only moves it."""
@@ -220,9 +220,9 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] =
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(
-        F.col("secret_spans"), start, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole)))
+        F.col("_secret_spans"), start, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole)))
     )
-    clean = F.when(F.size("secret_spans") == 0, F.col(text)).otherwise(done)
+    clean = F.when(F.size("_secret_spans") == 0, F.col(text)).otherwise(done)
     return found.withColumn(text, clean).select(*columns)
 
 

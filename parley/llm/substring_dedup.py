@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -330,7 +331,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     joined = docs.join(spans, F.unhex(F.md5(body.cast("binary"))) == F.col("_repeat_cid"), "left")
 
     @F.pandas_udf("string")
-    def clean(texts, spans):
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, x in zip(texts, spans, strict=True):
             if t is None or x is None:
@@ -342,7 +343,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 at = e
             kept.append(data[at:])
             out.append(b"".join(k.decode("utf-8", "ignore").encode() for k in kept).decode("utf-8", "ignore"))
-        return type(texts)(out, dtype=object)
+        return pd.Series(out, dtype=object)
 
     return joined.withColumn(text, F.when(F.col("_repeat_spans").isNull(), F.col(text)).otherwise(clean(F.col(text), F.col("_repeat_spans")))).select(*columns)
 
