@@ -52,7 +52,7 @@ def normalize_role(x: Column) -> Column:
     low = F.lower(x)
     out = F.lit("unknown")
     for word, role in reversed(ROLE_ALIASES.items()):
-        out = F.when(low.rlike(rf"(?U)\b{word}\b"), role).otherwise(out)
+        out = F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])"), role).otherwise(out)
     return out
 
 

@@ -56,7 +56,7 @@ def _clean(x: str) -> str:
 
 
 def _role(x: str) -> str:
-    whens = " ".join(rf"WHEN regexp_matches(lower({x}), '(^|[^\pL\pN\pM_]){w}([^\pL\pN\pM_]|$)') THEN '{r}'" for w, r in X.ROLE_ALIASES.items())
+    whens = " ".join(rf"WHEN regexp_matches(lower({x}), '(^|[^\pL\pN_]){w}([^\pL\pN_]|$)') THEN '{r}'" for w, r in X.ROLE_ALIASES.items())
     return f"CASE {whens} ELSE 'unknown' END"
 
 
