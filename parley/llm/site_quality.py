@@ -57,7 +57,7 @@ def evidence_features(text: Column) -> Column:
     return let(words, lambda w: let(lines, lambda at: made(w, at)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0) -> list[float]:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.02) -> list[float]:
     """Logistic regression by damped Newton steps: a weight per feature, and the intercept."""
     if len(set(y.tolist())) < 2:
         return [0.0] * (x.shape[1] + 1)

@@ -12,7 +12,7 @@ are even whatever the values, and (query block, candidate block) is the key of a
 query, which a window with Spark's group limit merges. Nothing is broadcast and nothing comes to the driver but counts.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id or
-of another length than the query; an empty vector scores 0; a repeated row is a candidate of its own, except to the
+of another length than the query; an empty vector scores 0; scores beyond a long's range count as its nearest bound; a repeated row is a candidate of its own, except to the
 queries of its own id, and a repeated query is answered once; an empty table gives an empty table. Other columns are
 not read.
 """
@@ -96,10 +96,11 @@ def _large(x, xid, q, qid, k):
     wide = x.astype(object)
     for i in range(len(q)):
         s = wide @ q[i].astype(object) if x.shape[1] else np.zeros(len(x), object)
+        s = [min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s]
         best = sorted((j for j in range(len(x)) if xid[j] != qid[i]), key=lambda j: (-s[j], xid[j]))[:k]
         rows += [i] * len(best)
         cols += best
-        scores += [int(s[j]) for j in best]
+        scores += [s[j] for j in best]
     return np.array(rows, np.int64), np.array(cols, np.int64), np.array(scores, np.int64)
 
 

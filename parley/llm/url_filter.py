@@ -78,6 +78,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
         for i, name in enumerate(names):
             for j in range(2):
                 rows.append((f"{lead[(i + 2 * j) % 4]}{name}.{tops[(i + j) % 4]}", paths[(i + j) % 4], label))
+    rows += [("", "", 0)] * 4  # what has no host isn't blocked
     return spark.createDataFrame(rows, "host string, path string, label int")
 
 
