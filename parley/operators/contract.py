@@ -89,17 +89,33 @@ def explode_claims(outputs: DataFrame) -> DataFrame:
     return outputs.select("run_id", "transcript_id", F.posexplode(claims).alias("claim_sequence", "claim"))
 
 
-def claim_errors(label: Column, c: Column, message: Column) -> Column:
-    """Violations of one claim. ``message``: struct (index, role, text, blocks) or null if it isn't in the transcript."""
-    v = {f: F.try_variant_get(c, f"$.{f}", "variant") for f in (*REQUIRED, *OPTIONAL)}
-    kind = {f: kind_of(v[f]) for f in v}
-    text = {f: F.try_variant_get(c, f"$.{f}", "string") for f in v}
-    number = {f: F.try_variant_get(c, f"$.{f}", "bigint") for f in v}
+INTEGERS = ("source_message_index", "source_block_index", "source_char_start", "source_char_end")
+
+
+def with_fields(claims: DataFrame) -> DataFrame:
+    """Adds each field's value, kind and typed value as columns, so that the rules read them once however often they
+    ask."""
+    c = F.col("claim")
+    out = claims.withColumns({f"_v_{f}": F.try_variant_get(c, f"$.{f}", "variant") for f in (*REQUIRED, *OPTIONAL)})
+    more = {f"_k_{f}": kind_of(F.col(f"_v_{f}")) for f in (*REQUIRED, *OPTIONAL)}
+    more |= {f"_t_{f}": F.try_variant_get(F.col(f"_v_{f}"), "$", "string") for f in (*REQUIRED, *OPTIONAL) if f not in INTEGERS}
+    more |= {f"_n_{f}": F.try_variant_get(F.col(f"_v_{f}"), "$", "bigint") for f in INTEGERS}
+    more |= {"_keys": F.json_object_keys(F.to_json(c)), "_k": kind_of(c)}
+    return out.withColumns(more)
+
+
+def claim_errors(label: Column, message: Column) -> Column:
+    """Violations of one claim, over ``with_fields``. ``message``: struct (index, role, text, blocks), or null if it isn't in
+    the transcript."""
+    v = {f: F.col(f"_v_{f}") for f in (*REQUIRED, *OPTIONAL)}
+    kind = {f: F.col(f"_k_{f}") for f in v}
+    text = {f: F.col(f"_t_{f}") for f in v if f not in INTEGERS}
+    number = {f: F.col(f"_n_{f}") for f in INTEGERS}
     none = lambda f: kind[f].isin("absent", "null")
     say = lambda *parts: F.concat(label, F.lit(": "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    keys = F.json_object_keys(F.to_json(c))
-    is_object = kind_of(c) == "object"
+    keys = F.col("_keys")
+    is_object = F.col("_k") == "object"
     extra = F.array_except(keys, F.array(*map(F.lit, (*REQUIRED, *OPTIONAL))))
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), keys)
     complete = is_object & (F.size(missing) == 0)
@@ -128,7 +144,7 @@ def claim_errors(label: Column, c: Column, message: Column) -> Column:
     fits = (start >= 0) & (start < end) & (end <= F.length(span))
     exact = F.coalesce((kind["source_quote"] == "string") & (F.substring(span, start.cast("int") + 1, (end - start).cast("int")) == text["source_quote"]), F.lit(False))
 
-    tags = F.try_variant_get(c, "$.concept_tags", "array<variant>")
+    tags = F.try_variant_get(v["concept_tags"], "$", "array<variant>")
     tags_ok = none("concept_tags") | (
         (kind["concept_tags"] == "array")
         & F.forall(F.coalesce(tags, F.array().cast("array<variant>")), lambda t: (kind_of(t) == "string") & ~is_blank(F.coalesce(F.try_variant_get(t, "$", "string"), F.lit(""))))
@@ -179,10 +195,10 @@ def validate(outputs: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFram
     )
     claims = explode_claims(top.filter("payload is not null"))
     messages = nested.select("transcript_id", F.explode("messages").alias("message")).withColumn("_at", F.col("message.index"))
-    claims = claims.withColumn("_at", F.when(kind_of(F.try_variant_get(F.col("claim"), "$.source_message_index", "variant")) == "int", F.try_variant_get(F.col("claim"), "$.source_message_index", "bigint")))
+    claims = with_fields(claims).withColumn("_at", F.when(F.col("_k_source_message_index") == "int", F.col("_n_source_message_index")))
     claims = claims.join(messages, ["transcript_id", "_at"], "left")
     label = F.concat(F.lit("claims["), F.col("claim_sequence").cast("string"), F.lit("]"))
-    claims = claims.withColumn("errors", claim_errors(label, F.col("claim"), F.col("message")))
+    claims = claims.withColumn("errors", claim_errors(label, F.col("message")))
     # errors of a run: bounded by its payload, in order
     found = claims.groupBy("run_id").agg(
         F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("errors") > 0, F.struct("claim_sequence", "errors")))), lambda x: x["errors"])).alias("claim_errors")
@@ -200,18 +216,16 @@ def validate(outputs: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFram
         F.when(F.size("_e") > 0, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("output_claim_count"),
     )
     good = claims.join(runs.filter("status = 'succeeded'").select("run_id"), "run_id", "left_semi")
-    c = F.col("claim")
-    get = lambda f, kind: F.try_variant_get(c, f"$.{f}", kind)
-    b = get("source_block_index", "bigint")
+    b = F.col("_n_source_block_index")
     block = F.get(F.col("message.blocks"), b.cast("int"))
-    fields = [get(f, "string").alias(f) for f in ("standalone_claim_text", "speaker_role", "speaker_label", "speech_act_type", "hedge_level", "source_quote")]
-    fields += [get(f, "bigint").alias(f) for f in ("source_message_index", "source_block_index", "source_char_start", "source_char_end")]
+    fields = [F.col(f"_t_{f}").alias(f) for f in ("standalone_claim_text", "speaker_role", "speaker_label", "speech_act_type", "hedge_level", "source_quote")]
+    fields += [F.col(f"_n_{f}").alias(f) for f in INTEGERS]
     return runs, good.select(
         "run_id",
         "transcript_id",
         F.col("claim_sequence").cast("long").alias("claim_sequence"),
         *fields,
-        F.coalesce(get("concept_tags", "array<string>"), none).alias("concept_tags"),
+        F.coalesce(F.try_variant_get(F.col("_v_concept_tags"), "$", "array<string>"), none).alias("concept_tags"),
         F.when(b.isNotNull(), block["text"]).otherwise(F.col("message.text")).alias("source_text"),
         F.col("message.timestamp").alias("source_timestamp"),
     )
