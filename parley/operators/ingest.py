@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.text import stable_id, stamp_ms
 from ..schemas import TABLES
 
 
@@ -28,7 +28,7 @@ def ingest(captures: DataFrame, now: Column | None = None) -> dict[str, DataFram
     ``captures``: conversation_id, source_url, fetched_at, parsed, and file_path, sha256, byte_size, media_type of the
     raw file and, with the prefix ``transcript_`` (path, sha256, byte_size), of the transcript file.
     """
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if now is None else now
+    now = stamp_ms(F.current_timestamp()) if now is None else now
     base = ingest_ready(captures).filter("ready").withColumn("created_at", now)
     base = base.withColumn("source_artifact_id", stable_id("art", F.col("file_path")))
     base = base.withColumn("transcript_artifact_id", stable_id("art", F.col("transcript_path")))

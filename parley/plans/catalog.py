@@ -303,6 +303,19 @@ query(
 )
 
 
+query(
+    "snapshot_diagnosis",
+    """SELECT page_id, CASE WHEN contains(lower(html), 'cf-mitigated') AND contains(lower(html), 'challenge') THEN 'challenge'
+       WHEN regexp_matches(html, '<div id="root">\\s*</div>') AND contains(lower(html), 'claude-ai') AND NOT contains(lower(html), 'chat_snapshots')
+       THEN 'app_shell' END AS reason FROM (SELECT page_id, html FROM pages UNION ALL
+       SELECT -page_id - 1, '<div id="root"> </div> claude-ai ' || url FROM pages)""",
+)(
+    lambda s, d: D.read(s, d, "pages").select("page_id", "html").unionByName(
+        D.read(s, d, "pages").select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit('<div id="root"> </div> claude-ai '), "url").alias("html"))
+    ).select("page_id", X.empty_snapshot_reason(F.col("html"), F.col("html").rlike(r'<div id="root">\s*</div>')).alias("reason"))
+)
+
+
 @query(
     "artifact_fingerprint",
     "SELECT page_id AS id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS byte_size, 'text/html' AS media_type FROM pages"
