@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = loose.select(F.col("node").alias("nid"), F.col("label").alias("g")).join(classes.select("nid", "rep", "n"), "nid")
     sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     sizes = sizes.filter("size > 1").select("g", F.ceil(F.greatest(F.col("size") / CELL, F.col("total") / CELL_SHINGLES)).alias("chunks"))
+    sizes = cut(sizes, "near-sizes")  # a join of two plain shuffles can be split where one group is very large
     wanted = rows.join(sizes, "g").select("g", "chunks", "nid", F.col("rep").alias("_id"))
     texts = own.join(wanted, "_id").select("g", "chunks", "nid", F.col("_text").alias("text"))
     cells = into_cells(texts, "g", "nid", "chunks").repartition("g", "c", "d").sortWithinPartitions("g", "c", "d")
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     ends = classes.select("nid", "rep").join(linked.select(F.col("node").alias("nid"), "label"), "nid", "left")
     ends = ends.select("nid", "rep", F.coalesce("label", "nid").alias("label"))
-    least = ends.groupBy("label").agg(F.min("rep").alias("component_id"))
+    least = cut(ends.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
     of_class = ends.join(least, "label").select("nid", "component_id")
     out = sig.select("_id", "n_shingles", "nid").join(of_class, "nid", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
