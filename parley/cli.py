@@ -1,4 +1,7 @@
-"""Command line: ``python -m parley.cli ingest|extract|query ...`` over a ledger folder."""
+"""Command line: ``python -m parley.cli check-url|init|ingest|extract|run|query ...`` over a ledger folder.
+
+``run`` is ``ingest`` and then ``extract`` over the transcripts of that batch's folder. Errors end with status 1.
+"""
 
 from __future__ import annotations
 
@@ -90,23 +93,49 @@ def show(rows: DataFrame, lines: DataFrame, as_json: bool) -> None:
         print(EMPTY)
 
 
+def _ingest(spark: SparkSession, ledger: L.Ledger, args: argparse.Namespace) -> None:
+    files = spark.read.text(args.folder, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    print("ingested" if append_captures(ledger, files, args.batch, args.fetched_at) else "batch is there already")
+
+
+def _extract(spark: SparkSession, ledger: L.Ledger, args: argparse.Namespace, batch: str) -> int:
+    """Runs over one transcript or all; 1 if any run failed."""
+    t = ledger.tables()
+    transcripts = L.list_transcripts(t)
+    if args.transcript:
+        L.get_transcript(t, args.transcript)
+        transcripts = transcripts.filter(F.col("transcript_id") == args.transcript)
+    frames = run_extraction(
+        transcripts, t["transcript_messages"], t["transcript_message_blocks"], file_extractor(args.claims_json), args.extractor_name,
+        F.lit(args.started_at), model=args.model or os.environ.get("OPENROUTER_MODEL"),
+    )
+    ledger.append(batch, frames)
+    t = ledger.tables()
+    mine = t["extraction_runs"].filter(F.col("started_at") == args.started_at)
+    rows = outcome(t | {"extraction_runs": mine})
+    show(rows, rows.select(F.concat_ws(" ", "run_id", "status", F.col("output_claim_count").cast("string"), F.to_json("support_verdicts")).alias("line")), False)
+    return int(not mine.filter("status = 'failed'").isEmpty())
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="parley")
     parser.add_argument("--ledger", default="data/ledger")
     sub = parser.add_subparsers(dest="command", required=True)
     check = sub.add_parser("check-url")
     check.add_argument("url")
-    take = sub.add_parser("ingest")
-    take.add_argument("folder")
-    take.add_argument("--batch", required=True)
-    take.add_argument("--fetched-at", required=True)
-    extract = sub.add_parser("extract")
-    extract.add_argument("--claims-json", required=True)
-    extract.add_argument("--transcript")
-    extract.add_argument("--extractor-name", default="file")
-    extract.add_argument("--model")
-    extract.add_argument("--batch", required=True)
-    extract.add_argument("--started-at", required=True)
+    sub.add_parser("init")
+    for name in ("ingest", "extract", "run"):
+        p = sub.add_parser(name)
+        p.add_argument("--batch", required=True)
+        if name != "extract":
+            p.add_argument("folder")
+            p.add_argument("--fetched-at", required=True)
+        if name != "ingest":
+            p.add_argument("--claims-json", required=True)
+            p.add_argument("--transcript")
+            p.add_argument("--extractor-name", default="file")
+            p.add_argument("--model")
+            p.add_argument("--started-at", required=True)
     query = sub.add_parser("query")
     query.add_argument("what", choices=("transcripts", "claims", "runs"))
     for name in ("conversation", "speaker", "speech-act", "transcript"):
@@ -120,26 +149,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             row = spark.range(1).select(share_url_gate(F.lit(args.url)).alias("g")).first()["g"]
             print(row["conversation_id"] or f"unsupported: {row['error']}")
             return int(row["error"] is not None)
+        if args.command == "init":
+            for name in sorted(L.TABLES):
+                print(name, ledger.table(name).count())
+            return 0
+        if args.command in ("ingest", "run"):
+            _ingest(spark, ledger, args)
+        if args.command in ("extract", "run"):
+            return _extract(spark, ledger, args, args.batch if args.command == "extract" else args.batch + "-extract")
         if args.command == "ingest":
-            files = spark.read.text(args.folder, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
-            print("ingested" if append_captures(ledger, files, args.batch, args.fetched_at) else "batch is there already")
             return 0
         t = ledger.tables()
-        if args.command == "extract":
-            transcripts = L.list_transcripts(t)
-            if args.transcript:
-                L.get_transcript(t, args.transcript)
-                transcripts = transcripts.filter(F.col("transcript_id") == args.transcript)
-            frames = run_extraction(
-                transcripts, t["transcript_messages"], t["transcript_message_blocks"], file_extractor(args.claims_json), args.extractor_name,
-                F.lit(args.started_at), model=args.model or os.environ.get("OPENROUTER_MODEL"),
-            )
-            ledger.append(args.batch, frames)
-            t = ledger.tables()
-            mine = t["extraction_runs"].filter(F.col("started_at") == args.started_at)
-            rows = outcome(t | {"extraction_runs": mine})
-            show(rows, rows.select(F.concat_ws(" ", "run_id", "status", F.col("output_claim_count").cast("string"), F.to_json("support_verdicts")).alias("line")), False)
-            return int(not mine.filter("status = 'failed'").isEmpty())
         if args.what == "transcripts":
             rows = L.list_transcripts(t, args.conversation)
             show(rows, transcript_lines(rows), args.json)

@@ -128,6 +128,24 @@ def test_run_to_ledger_and_queries(spark, store, capsys, tmp_path):
     assert "succeeded 1" in capsys.readouterr().out
 
 
+def test_cli_run(spark, tmp_path, capsys):
+    folder, claims = tmp_path / "in", tmp_path / "claims.json"
+    folder.mkdir()
+    (folder / "conv5.json").write_text(json.dumps(SNAPSHOT))
+    claims.write_text(json.dumps({"claims": GOOD[2:]}))
+    base = ["--ledger", (tmp_path / "ledger").as_uri()]
+    assert cli.main([*base, "init"], spark) == 0
+    assert cli.main([*base, "query", "claims"], spark) == 0
+    assert cli.EMPTY in capsys.readouterr().out
+    run = ["run", str(folder), "--batch", "b", "--fetched-at", NOW, "--claims-json", str(claims), "--started-at", NOW]
+    assert cli.main([*base, *run], spark) == 0
+    assert cli.main([*base, "extract", "--transcript", "tr-none", "--batch", "c", "--claims-json", str(claims), "--started-at", NOW], spark) == 1
+    assert "Unknown transcript_id" in capsys.readouterr().out
+    assert cli.main([*base, "query", "runs"], spark) == 0
+    assert "succeeded claims=1" in capsys.readouterr().out
+    assert cli.main(["check-url", "http://x"], spark) == 1
+
+
 def outcome(spark, store, raw):
     t = store.tables()
     key = t["transcripts"].first()["transcript_id"]
