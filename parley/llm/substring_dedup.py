@@ -272,13 +272,15 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     task, schema = anchor_rows(length, gram, kind)
     anchors = cut(own.select("id", "cid", "text").mapInArrow(task, schema), "repeat-anchors")
     counts = anchors.groupBy("fp").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("n > 1")
-    rows = cut(anchors.join(counts.select("fp", (F.col("h0") != F.col("h1")).alias("mixed")), "fp"), "repeat-rows")
+    # written first: a join of two plain shuffles can be split where one anchor has very many rows
+    counts = cut(counts.select("fp", (F.col("h0") != F.col("h1")).alias("mixed")), "repeat-counts")
+    rows = cut(anchors.join(counts, "fp"), "repeat-rows")
 
     kinds = rows.groupBy("fp", "h", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("cid", "id", "q", "s", "e")).alias("r"))
     kinds = cut(kinds, "repeat-kinds")
     whole = rows.join(kinds.filter("n > 1").select("fp", "h"), ["fp", "h"]).select("cid", "s", (F.col("e") + length).alias("e"))
 
-    sizes = kinds.filter("mixed").groupBy("fp").agg(F.count("*").alias("n"))
+    sizes = cut(kinds.filter("mixed").groupBy("fp").agg(F.count("*").alias("n")), "repeat-sizes")
     wanted = kinds.filter("mixed").select("fp", "r").join(sizes, "fp").groupBy("r.cid", "r.id")
     wanted = wanted.agg(F.collect_list(F.struct("fp", "n", "r.q", "r.s", "r.e")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"cid": "_cid", "id": "_id"})
