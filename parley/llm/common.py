@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +53,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/parley-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the shuffles that led here are dead; Spark removes their files with the objects
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-
-
-def fields(struct: str, names: Iterable[str]) -> list[Column]:
-    return [F.col(f"{struct}.{n}").alias(n) for n in names]
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing will read again."""
+    for t in tables:
+        _drop(t.sparkSession, t._cut_path)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, release
 from .near_dup import grouped
 from .shingles import mix
 from .suffix import suffix_array
@@ -275,6 +275,7 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     # written first: a join of two plain shuffles can be split where one anchor has very many rows
     counts = cut(counts.select("fp", (F.col("h0") != F.col("h1")).alias("mixed")), "repeat-counts")
     rows = cut(anchors.join(counts, "fp"), "repeat-rows")
+    release(anchors, counts)
 
     kinds = rows.groupBy("fp", "h", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("cid", "id", "q", "s", "e")).alias("r"))
     kinds = cut(kinds, "repeat-kinds")
@@ -290,6 +291,8 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     task, schema = repeated_windows(length)
     found = met.mapInArrow(task, schema)
     spans = whole.unionByName(found).groupBy("cid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = cut(spans, "repeat-spans")
+    release(rows, kinds, sizes)
     return spans
 
 
