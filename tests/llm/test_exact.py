@@ -6,7 +6,6 @@ import random
 import numpy as np
 import pytest
 from brute import near, quality, repeats, secrets, shingles
-from pyspark.sql import functions as F
 
 from parley.llm import bpe, near_dup, packing, quality_rules, secret_scan, substring_dedup, topk, url_filter
 from parley.llm.graph import components
