@@ -76,6 +76,13 @@ def test_ingest(store):
         L.get_transcript(t, "tr-none")
 
 
+def test_filters_reach_the_scan(store):
+    plan = L.list_transcripts(store.tables(), conversation_id="conv1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(conversation_id,conv1)" in plan and "transcript_messages" not in plan
+    plan = L.list_transcript_messages(store.tables(), "tr-1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(transcript_id,tr-1)" in plan
+
+
 def test_replay_and_duplicates(spark, store):
     files = spark.createDataFrame([("file:/raw/conv1.json", json.dumps(SNAPSHOT))], "file_path string, text string")
     assert not append_captures(store, files, "b1", NOW)  # the batch is there
