@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import cut, let, read
 
 #: Strings that an exact set may hold before it is turned into trigrams.
 EXACT_LIMIT = 32
@@ -190,7 +190,9 @@ def candidates(docs: DataFrame, rules: tuple[SecretRule, ...], text: str = "text
 def secret_spans(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
     """``docs`` with the column ``out``: array of (s, o, e) by start, then rule order; places in code points."""
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    found = candidates(docs, indexed, text).withColumnRenamed("tkey", "_secret_tkey").withColumnRenamed("kinds", "_secret_kinds")
+    # written first: the join's large side can then be split where very many texts are the same
+    found = cut(candidates(docs, indexed, text), "secret-candidates")
+    found = found.withColumnsRenamed({"tkey": "_secret_tkey", "kinds": "_secret_kinds"})
     joined = docs.join(found, text_key(F.col(text)) == F.col("_secret_tkey"), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
