@@ -107,7 +107,7 @@ def site_quality(docs: DataFrame, weights: list[float], key: str, text: str, hos
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
     whole = hosts.agg(F.sum("hn").alias("n"), F.sum("ht").alias("t"), F.var_pop(F.col("ht") / F.col("hn")).alias("v")).first()  # one row
     n, mean = whole["n"] or 0, (whole["t"] or 0.0) / max(whole["n"] or 0, 1)
-    both = paths.join(hosts, "host")
+    both = cut(paths.join(hosts, "host"), "site-paths")  # the join with the rows can then be split by skew
     inner = both.agg(F.avg(F.pow(F.col("t") / F.col("n") - F.col("ht") / F.col("hn"), F.lit(2.0))).alias("v")).first()  # one row
     a, b = _prior_weight(whole["v"], mean), _prior_weight(inner["v"], mean)
     joined = rows.join(both, ["host", "path"])
