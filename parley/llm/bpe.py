@@ -26,10 +26,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, small_batches
 
 #: Entries of each cache of a Python worker; a full cache starts anew.
-CACHE = 800_000
+CACHE = 500_000
 #: Characters of text whose new words are put into one trie.
 BATCH_CHARS = 1_000_000
 END = "</w>"
@@ -217,11 +217,14 @@ class Codec:
     def pieces(self, cut: str) -> list[str]:
         """The pre-tokenizer's words of a text without white space, as byte characters."""
         if cut.isascii():
-            return [cut.lower()] if cut.isalpha() else _PIECES.findall(cut.lower()) if _LATIN.match(cut) else self._by_library(cut)
-        if _LATIN.match(cut):
-            table = self.bytes
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in _PIECES.findall(cut.lower())]
-        return self._by_library(cut)
+            if cut.isalpha():
+                return [cut.lower()]
+            return _PIECES.findall(cut.lower()) if cut.isprintable() else self._by_library(cut)
+        if not _LATIN.match(cut):
+            return self._by_library(cut)
+        low, table = cut.lower(), self.bytes
+        found = (low,) if cut.isalpha() else _PIECES.findall(low)
+        return [p if p.isascii() else p.encode().decode("latin-1").translate(table) for p in found]
 
     def _by_library(self, cut: str) -> list[str]:
         """The library's own normalizer and pre-tokenizer, for whatever isn't plain."""
@@ -275,18 +278,16 @@ class Codec:
                 size += len(texts[end] or "")
                 words = self._split(texts[end])
                 row = list(map(get, words))
-                if None in row:
-                    new.update([w for w, v in zip(words, row, strict=True) if v is None])
-                    split.append(words)
-                else:
-                    split.append(None)
+                gaps = [(i, words[i]) for i, v in enumerate(row) if v is None]
+                new.update([w for _, w in gaps])
+                split.append(gaps)
                 found.append(row)
                 end += 1
             if new:
                 self._learn(new)
-            for words, row in zip(split, found, strict=True):
-                if words is not None:
-                    row = [get(w) if v is None else v for w, v in zip(words, row, strict=True)]
+            for gaps, row in zip(split, found, strict=True):
+                for i, w in gaps:
+                    row[i] = get(w)
                 yield row
             at = end
 
@@ -322,6 +323,7 @@ def bpe_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 def _encoded(docs: DataFrame, key: str, text: str, path: str, full: bool) -> DataFrame:
     kind = dict(docs.select(key).dtypes)[key]
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, "texts")

@@ -14,8 +14,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Smallest labels spread along edges and labels jump to their own labels, so a path of n nodes takes about log n
     rounds. Each round is written to the shared folder; only one count per round comes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.filter("a <> b").distinct(), f"{name}-edges")
+    # written once: edges of a Python stage may be others when computed again, and each must count in both directions
+    edges = cut(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-found")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(both.distinct(), f"{name}-edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), name)
     while True:
         known = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, small_batches
 from .graph import components
 from .shingles import REGISTERS, estimate, expected_collisions, registers, set_key, shingle_set
 
@@ -39,7 +39,7 @@ BAND = 4
 BANDS = REGISTERS // BAND
 #: Members of a cell, and shingles of a cell in confirmation.
 CELL = 1024
-CELL_SHINGLES = 1 << 21
+CELL_SHINGLES = 1 << 19
 TOLERANCE = 5.0
 
 
@@ -203,6 +203,7 @@ def confirmed_trees(words: int, percent: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept): per row the smallest key that it is linked with."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     sig = cut(signatures(own, "_id", "_text", words), "near-sig")
     named = sig.filter("nid is not null and _id is not null")
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     once = buckets.groupBy("size", "x", "m").agg(F.min("k").alias("k")).select("k", "size")
     members = bands.join(once, "k").join(classes.select("nid", "n", "regs"), "nid")
     cells = into_cells(members.withColumn("chunks", F.ceil(F.col("size") / CELL)).drop("size"), "k", "nid", "chunks")
-    cells = cells.select("k", "c", "d", "nid", "n", "regs").repartition("k", "c", "d").sortWithinPartitions("k", "c", "d")
+    cells = cells.select("k", "c", "d", "nid", "n", "regs").repartition("k", "c", "d").sortWithinPartitions("k", "c", "d", "nid")
     loose = components(cells.mapInArrow(loose_stars(percent), "a long, b long"), "near-loose")
 
     # candidate groups with their texts
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sizes = cut(sizes, "near-sizes")  # a join of two plain shuffles can be split where one group is very large
     wanted = rows.join(sizes, "g").select("g", "chunks", "nid", F.col("rep").alias("_id"))
     texts = own.join(wanted, "_id").select("g", "chunks", "nid", F.col("_text").alias("text"))
-    cells = into_cells(texts, "g", "nid", "chunks").repartition("g", "c", "d").sortWithinPartitions("g", "c", "d")
+    cells = into_cells(texts, "g", "nid", "chunks").repartition("g", "c", "d").sortWithinPartitions("g", "c", "d", "nid")
     linked = components(cells.mapInArrow(confirmed_trees(words, percent), "a long, b long"), "near-linked")
 
     ends = classes.select("nid", "rep").join(linked.select(F.col("node").alias("nid"), "label"), "nid", "left")

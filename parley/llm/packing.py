@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import codec, default_path
-from .common import read
+from .common import read, small_batches
 
 LENGTH = 4096
 END_ID = 1
@@ -83,6 +83,7 @@ def pack(
     """One row per piece; ``with_ids`` adds the piece's ids as little-endian 32-bit numbers."""
     path = path or default_path()
     kind = dict(docs.select(key).dtypes)[key]
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, "bytes", "library")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 400_000
+CACHE = 200_000
 
 #: Registers of a set, and the bits that each keeps of its smallest hash: a leading-zero count and a mantissa.
 REGISTERS = 128

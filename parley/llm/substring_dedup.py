@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, release
+from .common import cut, read, release, small_batches
 from .near_dup import grouped
 from .shingles import mix
 from .suffix import suffix_array
@@ -269,6 +269,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(cid, spans: array of (s, e)) for texts with repeated bytes; ``own`` has id, cid and text."""
     kind = dict(own.dtypes)["id"]
+    small_batches(own.sparkSession)
     task, schema = anchor_rows(length, gram, kind)
     anchors = cut(own.select("id", "cid", "text").mapInArrow(task, schema), "repeat-anchors")
     counts = anchors.groupBy("fp").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("n > 1")
@@ -305,7 +306,8 @@ def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """Per document: n_bytes, n_removed, n_spans and the hash of the bytes that stay."""
     own = _own(docs, key, text)
     kind = dict(own.dtypes)["id"]
-    joined = own.join(repeat_spans(own, length, gram), "cid", "left").select("id", "text", "spans")
+    # the merge hint: texts move at every size, and a third of all texts may be one content
+    joined = own.join(repeat_spans(own, length, gram).hint("merge"), "cid", "left").select("id", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,7 +335,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     own = _own(docs, key, text)
     spans = repeat_spans(own, length, gram).withColumnRenamed("cid", "_repeat_cid").withColumnRenamed("spans", "_repeat_spans")
     body = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(spans, F.unhex(F.md5(body.cast("binary"))) == F.col("_repeat_cid"), "left")
+    joined = docs.join(spans.hint("merge"), F.unhex(F.md5(body.cast("binary"))) == F.col("_repeat_cid"), "left")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -344,3 +344,18 @@ def test_open_bins_are_bounded():
     bins = packing.OpenBins(10, most=2)
     assert [bins.put(n)[0] for n in (6, 7, 8)] == [0, 1, 2]  # the fullest of two closes for the third
     assert bins.open == 2 and bins.put(4) == (0, 6) and bins.put(2) == (2, 8) and bins.open == 0
+
+
+def test_components_of_edges_that_change_when_computed_again(spark):
+    """A stage may give other edges in another evaluation; each counts in both directions."""
+
+    def turned(frames):
+        r = random.SystemRandom()
+        for f in frames:
+            flip = [r.random() < 0.5 for _ in range(len(f))]
+            a, b = f["a"].where(flip, f["b"]), f["b"].where(flip, f["a"])
+            yield f.assign(a=a, b=b)
+
+    edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").mapInPandas(turned, "a long, b long")
+    got = components(edges).collect()
+    assert len(got) == 61 and {x["label"] for x in got} == {0}
