@@ -213,6 +213,7 @@ class Codec:
             "texts": lambda ids: (" ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])),
         }[make]
         self.cache: dict[str, object] = {}
+        self.most = CACHE * 7 // 5 if make == "bytes" else CACHE  # ids as bytes are small
 
     def pieces(self, cut: str) -> list[str]:
         """The pre-tokenizer's words of a text without white space, as byte characters."""
@@ -241,7 +242,7 @@ class Codec:
                 gc.enable()
 
     def _encode(self, new: set[str]) -> None:
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.cache) + len(new) > self.most:
             self.cache.clear()
         plain: dict[str, str] = {}
         mixed: dict[str, list] = {}
