@@ -14,7 +14,7 @@ from parley.llm.near_dup import keep_one
 from parley.llm.packing import pack
 from parley.llm.quality_rules import keep_documents
 from parley.llm.secret_scan import redact
-from parley.llm.substring_dedup import remove_repeats
+from parley.llm.substring_dedup import WORDS, remove_repeats
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that occur more than once go from the texts."""
-    return _measured(remove_repeats(docs))
+    """Passages of over 50 words, or of 400 bytes, that occur more than once go from the texts."""
+    return _measured(remove_repeats(docs, words=WORDS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@
 Everything after the first pass moves places and hashes; texts move twice, by content key. No pairs are made. Cuts of
 lineage lie in the shared folder. Hashes of 64 bits within an anchor's group, and md5, stand for equality of bytes.
 
+The same steps take words instead of bytes (``unit``): a word is the 8 bytes of its hash, and places and lengths count
+words. The pipeline removes both kinds, so that no number of bytes decides whether a passage of 51 words is found.
+
 Defined results: a null text is empty; texts shorter than ``length`` have no spans, and copies of longer ones lose all
 bytes; repeated rows count as copies; an empty table gives an empty table; only the key and ``text`` are read.
 """
@@ -21,6 +24,7 @@ bytes; repeated rows count as copies; an empty table gives an empty table; only
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,11 @@ from .suffix import suffix_array
 
 LENGTH = 400
 GRAM = 32
+#: Words of the shortest passage that the pipeline removes, words of an anchor, and bytes that stand for a word.
+WORDS = 51
+WORD_GRAM = 8
+WORD_UNIT = 8
+CACHE = 200_000
 #: Windows of one segment; a longer text is read in segments, and places fit in PLACE_BITS.
 SEGMENT = 1 << 20
 PLACE_BITS = 21
@@ -48,6 +57,8 @@ BATCH_ROWS = 4000
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
+_CODES: dict[bytes, bytes] = {}
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +93,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(data: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+def runs(data: bytes, length: int, gram: int, unit: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
     """(anchor's hash, hash of the run's bytes, anchor's place, first window, last window) of each run of windows."""
-    n = len(data)
+    n = len(data) // unit
     for base in range(0, n - length + 1, SEGMENT):
-        part = np.frombuffer(data, np.uint8, min(SEGMENT + length - 1, n - base), base)
+        part = np.frombuffer(data, np.dtype(f"u{unit}"), min(SEGMENT + length - 1, n - base), base * unit)
         h = gram_hashes(part, gram)
         last = (1 << PLACE_BITS) - 1
         packed = (h & ~np.uint64(last)) | (np.uint64(last) - np.arange(len(h), dtype=np.uint64))
@@ -96,7 +107,7 @@ def runs(data: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, i
         fp = h[q].astype(np.int64)
         ends = np.r_[starts[1:], len(m)] - 1
         for f, a, s, e in zip(fp.tolist(), q.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            own = xxhash.xxh3_64_intdigest(data[base + s : base + e + length], seed=a - s)
+            own = xxhash.xxh3_64_intdigest(data[(base + s) * unit : (base + e + length) * unit], seed=a - s)
             yield f, own - (1 << 63), base + a, base + s, base + e
 
 
@@ -104,7 +115,22 @@ def _encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def anchor_rows(length: int, gram: int, kind: str):
+def coded(text: str | None, unit: int) -> bytes:
+    """The bytes of the text, or a hash of 8 bytes for each word; words are runs without ASCII white space."""
+    data = _encode(text)
+    if unit == 1:
+        return data
+    known = _CODES
+    if len(known) > CACHE:
+        known.clear()
+    words = data.split()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_digest(w)
+    return b"".join(map(known.__getitem__, words))
+
+
+def anchor_rows(length: int, gram: int, kind: str, unit: int = 1):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "id", "fp", "h", "q", "s", "e"]
         for b in batches:
@@ -112,10 +138,10 @@ def anchor_rows(length: int, gram: int, kind: str):
             done = 0
             ids, cids = b.column(0), b.column(1)
             for i in range(b.num_rows):
-                data = _encode(b.column(2)[i].as_py())
-                if len(data) < length:
+                data = coded(b.column(2)[i].as_py(), unit)
+                if len(data) < length * unit:
                     continue
-                for r in runs(data, length, gram):
+                for r in runs(data, length, gram, unit):
                     rows[0].append(i)
                     for x, v in zip(rows[1:], r, strict=False):
                         x.append(v)
@@ -132,7 +158,7 @@ def anchor_rows(length: int, gram: int, kind: str):
     return task, f"cid binary, id {kind}, fp long, h long, q long, s long, e long"
 
 
-def contexts(length: int):
+def contexts(length: int, unit: int = 1):
     """Rows (text, cid, wanted: array of (fp, n, q, s, e)) to one row per run and part of its offsets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +168,7 @@ def contexts(length: int):
             rows: list[tuple] = []
             size = 0
             for t, cid, wanted in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                data, cid = _encode(t.as_py()), cid.as_py()
+                data, cid = coded(t.as_py(), unit), cid.as_py()
                 for w in wanted.as_py():
                     q = w["q"]
                     first, last = q - w["e"], q - w["s"]  # offsets of the anchor in its windows
@@ -151,8 +177,8 @@ def contexts(length: int):
                     for p in range(first // step, last // step + 1):
                         lo, hi = max(first, p * step), min(last, (p + 1) * step - 1)
                         # bytes that all windows of the part hold
-                        common = data[q - p * step : q + length - min(length - 1, (p + 1) * step - 1)]
-                        left, right = data[q - hi : q][::-1], data[q : q + length - lo]
+                        common = data[(q - p * step) * unit : (q + length - min(length - 1, (p + 1) * step - 1)) * unit]
+                        left, right = data[(q - hi) * unit : q * unit][::-1], data[q * unit : (q + length - lo) * unit]
                         rows.append((w["fp"], p, xxhash.xxh3_64_intdigest(common) - (1 << 63), cid, q, lo, hi, left, right))
                         size += len(left) + len(right)
                 if size > 1 << 24:
@@ -191,7 +217,7 @@ def ordered(sides: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.r_[0, shared]
 
 
-def repeated_windows(length: int):
+def repeated_windows(length: int, unit: int = 1):
     """Groups (fp, part, core) of runs to spans (cid, s, e) of bytes that their repeated windows cover."""
 
     def solve(rows: list[dict], starts: list[int]) -> Iterator[tuple]:
@@ -206,7 +232,7 @@ def repeated_windows(length: int):
             depth = np.arange(lo[a:z].min(), hi[a:z].max() + 1)
             classes = []
             for (order, shared), need in zip(by, (depth, length - depth), strict=True):
-                new = shared[a:z][None, :] < need[:, None]
+                new = shared[a:z][None, :] // unit < need[:, None]
                 new[:, 0] = True
                 of = np.empty((len(depth), n), np.int64)
                 of[:, order[a:z] - a] = np.cumsum(new, axis=1)
@@ -266,11 +292,11 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(cid, spans: array of (s, e)) for texts with repeated bytes; ``own`` has id, cid and text."""
+def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
+    """(cid, spans: array of (s, e)) for texts with repeated bytes, or words; ``own`` has id, cid and text."""
     kind = dict(own.dtypes)["id"]
     small_batches(own.sparkSession)
-    task, schema = anchor_rows(length, gram, kind)
+    task, schema = anchor_rows(length, gram, kind, unit)
     anchors = cut(own.select("id", "cid", "text").mapInArrow(task, schema), "repeat-anchors")
     counts = anchors.groupBy("fp").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("n > 1")
     # written first: a join of two plain shuffles can be split where one anchor has very many rows
@@ -287,9 +313,9 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     wanted = wanted.agg(F.collect_list(F.struct("fp", "n", "r.q", "r.s", "r.e")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"cid": "_cid", "id": "_id"})
     texts = own.join(wanted, (own["cid"] == wanted["_cid"]) & own["id"].eqNullSafe(wanted["_id"])).select("text", "cid", "wanted")
-    task, schema = contexts(length)
+    task, schema = contexts(length, unit)
     met = texts.mapInArrow(task, schema).repartition("fp", "part", "core").sortWithinPartitions("fp", "part", "core")
-    task, schema = repeated_windows(length)
+    task, schema = repeated_windows(length, unit)
     found = met.mapInArrow(task, schema)
     spans = whole.unionByName(found).groupBy("cid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = cut(spans, "repeat-spans")
@@ -329,23 +355,40 @@ def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     return joined.mapInArrow(task, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with repeated bytes removed; a character that loses a byte goes as a whole. Rows stay, also empty ones."""
+def word_places(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from the first word's start to the last word's end."""
+    at = [m.span() for m in _WORD.finditer(data)]
+    return [(at[s][0], at[e - 1][1]) for s, e in spans]
+
+
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
+    """``docs`` with repeated bytes removed; a character that loses a byte goes as a whole. Rows stay, also empty ones.
+
+    With ``words``, passages of so many words that occur more than once go, too, however few bytes they have.
+    """
     columns = docs.columns
     own = _own(docs, key, text)
-    spans = repeat_spans(own, length, gram).withColumnRenamed("cid", "_repeat_cid").withColumnRenamed("spans", "_repeat_spans")
+    spans = repeat_spans(own, length, gram).select("cid", F.lit(False).alias("words"), "spans")
+    if words:
+        spans = spans.unionByName(repeat_spans(own, words, min(words, WORD_GRAM), WORD_UNIT).select("cid", F.lit(True).alias("words"), "spans"))
+    spans = spans.groupBy(F.col("cid").alias("_repeat_cid")).agg(F.collect_list(F.struct("words", "spans")).alias("_repeat_spans"))
     body = F.coalesce(F.col(text), F.lit(""))
     joined = docs.join(spans.hint("merge"), F.unhex(F.md5(body.cast("binary"))) == F.col("_repeat_cid"), "left")
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for t, x in zip(texts, spans, strict=True):
+        for t, x in zip(texts, found, strict=True):
             if t is None or x is None:
                 out.append(t)
                 continue
-            data, at, kept = _encode(t), 0, []
-            for s, e in merged([(r["s"], r["e"]) for r in x]):
+            data, at, kept, gone = _encode(t), 0, [], []
+            for f in x:
+                places = [(r["s"], r["e"]) for r in f["spans"]]
+                gone += word_places(data, places) if f["words"] else places
+            for s, e in merged(gone):
                 kept.append(data[at:s])
                 at = e
             kept.append(data[at:])

@@ -2,11 +2,13 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from brute import near, quality, repeats, secrets
 
 import corpus_pipeline
+from parley.llm import substring_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,6 +59,43 @@ def test_stages(spark):
     assert {p["doc_id"] for p in packed} == set(order)
 
 
+def test_passages_of_51_words(spark):
+    """Over 50 words in few bytes go, 50 words stay; words are compared whole, whatever white space parts them."""
+    r = random.Random(12)
+    own = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    small, fifty = " ".join(f"é{i}" for i in range(51)), " ".join(f"b{i}" for i in range(50))
+    other = small.replace(" ", "\n", 3)
+    assert len(small.encode()) < 400
+    parts = [(own(60), small, own(40)), (own(40), other, own(60)), (own(40), fifty, own(60)), (own(60), fifty, own(40))]
+    docs = spark.createDataFrame([(i, " ".join(p), "en", "s", 0) for i, p in enumerate(parts)], COLUMNS)
+    got = {x["doc_id"]: x for x in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, "").collect()}
+    for i, (a, b, c) in enumerate(parts):
+        assert got[i]["text"] == (f"{a}  {c}" if i < 2 else f"{a} {b} {c}") and got[i]["n_chars"] == len(got[i]["text"])
+
+
+@pytest.mark.parametrize("split", [256, 4])
+def test_word_passages_against_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(substring_dedup, "SPLIT", split)
+    r = random.Random(13)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared = [own(70) for _ in range(3)]
+    rows = []
+    for _ in range(60):
+        w = own(r.randint(0, 30))
+        for _ in range(r.randint(0, 2)):
+            a = r.randint(0, 25)
+            w += r.choice(shared)[a : r.randint(a + 40, 70)] + own(r.randint(0, 30))
+        rows.append(w)
+    seen = Counter(tuple(w[i : i + 51]) for w in rows for i in range(len(w) - 50))
+    want = []
+    for w in rows:
+        gone = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want.append([x for j, x in enumerate(w) if j not in gone])
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(rows)], COLUMNS)
+    got = {x["doc_id"]: x["text"].split() for x in substring_dedup.remove_repeats(docs, length=10**5, words=51).collect()}
+    assert [got[i] for i in range(len(rows))] == want and sum(map(len, want)) < sum(map(len, rows)) - 500
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
