@@ -248,10 +248,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group; rows without an id stay."""
-    found = near_duplicates(docs, key, text, words, percent)
-    gone = found.filter("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """The documents that stay, with all their columns: one row of each group, of its smallest id; of rows that share it,
+    or of rows without an id where no other has one, any single one. Rows without words stay."""
+    # rows are numbered, so that repeated and missing ids don't matter; written, so that a number stays with its row
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows, "_row", text, words, percent).select("_row", "component_id")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
+    first = found.join(rows.select("_row", key), "_row").groupBy("component_id").agg(F.min(order)["row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

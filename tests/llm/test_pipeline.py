@@ -59,6 +59,20 @@ def test_stages(spark):
     assert {p["doc_id"] for p in packed} == set(order)
 
 
+def test_repeated_rows_and_missing_ids(spark):
+    """One row of each group passes near-dedup, and the next stage leaves its text whole."""
+    r = random.Random(14)
+    twice, nameless, mixed, other = (" ".join(f"w{r.randrange(10**6)}" for _ in range(90)) for _ in range(4))
+    rows = [(7, twice), (7, twice), (7, other), (None, nameless), (None, nameless + " more"), (9, mixed), (None, mixed), (8, mixed + " more")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["near_dedup"](spark, docs, "")
+    assert one.columns == docs.columns
+    got = [(x["doc_id"], x["text"]) for x in stages["substring_dedup"](spark, one, "").collect()]
+    assert len(got) == 4 and {(7, twice), (7, other), (8, mixed + " more")} < set(got)
+    assert {t for k, t in got if k is None} < {nameless, nameless + " more"}
+
+
 def test_passages_of_51_words(spark):
     """Over 50 words in few bytes go, 50 words stay; words are compared whole, whatever white space parts them."""
     r = random.Random(12)
