@@ -31,7 +31,7 @@ EVERY = 50
 SCALE = 256
 CANDIDATES, QUERIES = 8192, 1024
 #: Shares of the lists that are read before the bounds are compared.
-DEPTHS = (0.125, 0.5)
+DEPTHS = (0.125, 0.5, 0.75, 0.9, 1.0)
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -72,18 +72,10 @@ def block_top(x: np.ndarray, xid: np.ndarray, q: np.ndarray, qid: np.ndarray, k:
         if alive.sum() <= 4 * k * len(q):
             break
     # resolve: the read and the unread components of those that may still qualify
-    few = alive.sum() < 0.2 * alive.size
     rows, cols = np.nonzero(alive)
-    if few:
-        score = np.empty(len(rows))
-        for a in range(0, len(rows), 200_000):
-            score[a : a + 200_000] = np.einsum("ij,ij->i", qf[rows[a : a + 200_000]], xf[cols[a : a + 200_000]])
-    else:
-        full = np.where(alive, qf @ xf.T, -np.inf)
-        if n > k:
-            kth = np.partition(full, n - k, axis=1)[:, n - k]
-            rows, cols = np.nonzero(alive & (full >= kth[:, None]))
-        score = full[rows, cols]
+    score = np.empty(len(rows))
+    for a in range(0, len(rows), 200_000):
+        score[a : a + 200_000] = np.einsum("ij,ij->i", qf[rows[a : a + 200_000]], xf[cols[a : a + 200_000]])
     order = np.lexsort((xid[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     first = np.searchsorted(rows, rows)

@@ -264,6 +264,24 @@ def test_block_top_prunes():
         assert cols[rows == i].tolist() == best.tolist() and score[rows == i].tolist() == full[i][best].tolist()
 
 
+def test_block_top_resolves_few(monkeypatch):
+    """Lists are read on until the bounds leave few candidates, also where half of each list decides nothing."""
+    r = np.random.default_rng(2)
+    x = np.floor(256 * r.normal(size=(2000, 64)) / 8).astype(np.int64)
+    resolved, plain = [], np.einsum
+
+    def einsum(how, a, b):
+        resolved.append(len(a))
+        return plain(how, a, b)
+
+    monkeypatch.setattr(topk.np, "einsum", einsum)
+    rows, cols, _ = topk.block_top(x, np.arange(2000), x[:40], np.arange(40), 5)
+    assert 200 <= sum(resolved) < 0.02 * 40 * 2000
+    full = x[:40] @ x.T
+    for i in range(40):
+        assert cols[rows == i].tolist() == [j for j in np.lexsort((np.arange(2000), -full[i])) if j != i][:5]
+
+
 # BPE and packing
 
 
