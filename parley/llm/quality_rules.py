@@ -54,7 +54,8 @@ def repeat_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more in the text.
 
     Windows are hashed, packed with their place into one long and sorted as primitives; neighbours of equal hash are
-    compared word by word. Texts of more words than a packed place can hold take the windows themselves.
+    compared word by word. Where windows of one packed hash differ, equal ones may stand apart: those beside another
+    window are compared as windows. Texts of more words than a packed place can hold take the windows themselves.
     """
     places = (1 << 24) - 1
 
@@ -67,21 +68,38 @@ def repeat_words(words: Column) -> Column:
 
     def same(a: Column, b: Column) -> Column:
         i, j = a.bitwiseAND(F.lit(places)).cast("int"), b.bitwiseAND(F.lit(places)).cast("int")
-        close = F.shiftright(a, 24) == F.shiftright(b, 24)
-        return F.coalesce(F.when(close, window(i) == window(j)), F.lit(False))
+        return F.coalesce(F.when(close(a, b), window(i) == window(j)), F.lit(False))
+
+    def close(a: Column, b: Column) -> Column:
+        return F.shiftright(a, 24) == F.shiftright(b, 24)
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.coalesce(close(a, b), F.lit(False)) & ~same(a, b)
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1), p + 3) - p).cast("long"))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(places))
+
     def short(keys: Column) -> Column:
-        hits = F.filter(keys, lambda x, i: same(x, F.get(keys, i - 1)) | same(x, F.get(keys, i + 1)))
-        return let(F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(F.lit(places)))), covered)
+        hits = F.transform(F.filter(keys, lambda x, i: same(x, F.get(keys, i - 1)) | same(x, F.get(keys, i + 1))), place)
+        # each stretch of equal windows in a run of one packed hash has its first or last here, if the run has others
+        mixed = F.filter(keys, lambda x, i: apart(x, F.get(keys, i - 1)) | apart(x, F.get(keys, i + 1)))
+        both = lambda h, m: F.when(F.size(m) > 0, F.array_union(h, let(windows_of(m), equal))).otherwise(h)
+        return let(hits, lambda h: let(mixed, lambda m: let(F.sort_array(both(h, m)), covered)))
 
-    def long(keys: Column) -> Column:
+    def windows_of(keys: Column) -> Column:
+        return F.sort_array(F.transform(keys, lambda x: F.struct(window(place(x).cast("int")).alias("w"), place(x).alias("i"))))
+
+    def equal(keys: Column) -> Column:
         hit = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
         hits = F.filter(keys, lambda x, i: hit(x, F.get(keys, i - 1)) | hit(x, F.get(keys, i + 1)))
-        return let(F.sort_array(F.transform(hits, lambda x: x["i"].cast("long"))), covered)
+        return F.transform(hits, lambda x: x["i"].cast("long"))
+
+    def long(keys: Column) -> Column:
+        return let(F.sort_array(equal(keys)), covered)
 
     n = F.size(words)
     starts = F.sequence(F.lit(0), n - 3)

@@ -208,6 +208,15 @@ def test_quality(spark, monkeypatch):
     assert [r["doc_id"] for r in out.collect()] == [1] and out.columns == docs.columns
 
 
+def test_quality_counts_repeats_across_a_collision(spark):
+    """These windows agree in the 40 hash bits that are packed; one lies between two of the other."""
+    pairs = [("w736859", "w4087372"), ("w3327488", "w4552874"), ("w630076", "w995378")]
+    texts = [" ".join(f"{w} x y" for w in order) for a, b in pairs for order in ((a, b, a), (b, a, b), (a, b, a, b), (a, b), (a, a, b, b, a))]
+    texts.append(" ".join(texts))
+    got = {x["doc_id"]: x["n_repeat_words"] for x in quality_rules.quality_rules(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: quality(t)[4] for i, t in enumerate(texts)} and got[0] == 6
+
+
 # URLs
 
 
