@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, small_batches
+from .common import read, sliced
 
 #: Entries of each cache of a Python worker; a full cache starts anew.
 CACHE = 500_000
@@ -324,11 +324,10 @@ def bpe_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 def _encoded(docs: DataFrame, key: str, text: str, path: str, full: bool) -> DataFrame:
     kind = dict(docs.select(key).dtypes)[key]
-    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, "texts")
-        for b in batches:
+        for b in sliced(batches):
             n, first, second = [], [], []
             for row in c.values(b.column(1).to_pylist()):
                 ids, out = " ".join([x[0] for x in row]), " ".join([x[1] for x in row])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches
+from .common import cut, read, release, sliced, spare
 from .graph import components
 from .shingles import REGISTERS, estimate, expected_collisions, registers, set_key, shingle_set
 
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     kind = dict(docs.select(key).dtypes)[key]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, nid, cid, regs = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
@@ -203,7 +203,6 @@ def confirmed_trees(words: int, percent: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept): per row the smallest key that it is linked with."""
-    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     sig = cut(signatures(own, "_id", "_text", words), "near-sig")
     named = sig.filter("nid is not null and _id is not null")
@@ -236,26 +235,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     cells = into_cells(texts, "g", "nid", "chunks").repartition("g", "c", "d").sortWithinPartitions("g", "c", "d", "nid")
     linked = components(cells.mapInArrow(confirmed_trees(words, percent), "a long, b long"), "near-linked")
 
+    release(loose, sizes)
     ends = classes.select("nid", "rep").join(linked.select(F.col("node").alias("nid"), "label"), "nid", "left")
     ends = ends.select("nid", "rep", F.coalesce("label", "nid").alias("label"))
     least = cut(ends.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
     of_class = ends.join(least, "label").select("nid", "component_id")
     out = sig.select("_id", "n_shingles", "nid").join(of_class, "nid", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
-    return out.select(
-        F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept")
-    )
+    out = cut(out.select("_id", "n_shingles", component.alias("component_id")), "near-result")
+    release(sig, classes, linked, least)
+    same = F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("_id").alias(key), "n_shingles", "component_id", same.alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: one row of each group, of its smallest id; of rows that share it,
     or of rows without an id where no other has one, any single one. Rows without words stay."""
     # rows are numbered, so that repeated and missing ids don't matter; written, so that a number stays with its row
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = near_duplicates(rows, "_row", text, words, percent).select("_row", "component_id")
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
-    first = found.join(rows.select("_row", key), "_row").groupBy("component_id").agg(F.min(order)["row"].alias("_row"))
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row = spare(docs, "_row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows, row, text, words, percent).select(F.col(row).alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col(key).isNull().alias("none"), F.col(key).alias("id"))
+    first = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("none", "id", "row"))["row"].alias(row))
+    return rows.join(first.select(row), row, "left_semi").select(*docs.columns)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import codec, default_path
-from .common import read, small_batches
+from .common import read, sliced
 
 LENGTH = 4096
 END_ID = 1
@@ -83,7 +83,6 @@ def pack(
     """One row per piece; ``with_ids`` adds the piece's ids as little-endian 32-bit numbers."""
     path = path or default_path()
     kind = dict(docs.select(key).dtypes)[key]
-    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, "bytes", "library")
@@ -100,7 +99,7 @@ def pack(
             names = [key, *NAMES[1:], "ids"][: len(columns)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=False)], names=names)
 
-        for b in batches:
+        for b in sliced(batches):
             key_type = b.schema.field(0).type
             for k, row in zip(b.column(0).to_pylist(), c.values(b.column(1).to_pylist()), strict=True):
                 ids = b"".join(row) + end

@@ -8,17 +8,25 @@
 3. One run of each remaining kind (same anchor, other bytes) gives its bytes. They meet by anchor, and for common anchors
    by part of the offset range and the bytes that all windows of the part share, so that large groups split. In a task the
    runs' bytes on both sides of the anchor become blocks, and a suffix array by grouping construction (``suffix.py``) over
-   all of them gives both orders; neighbours' common prefixes then tell for every offset which windows occur twice.
-4. Spans of a text are collected (at most its length) and joined with the texts by content key, where bytes are removed.
+   all of them gives both orders; neighbours' common prefixes then tell for every offset which windows occur twice. At an
+   anchor of so many kinds that a part is one offset, a part's windows are all equal, and counts decide.
+4. Spans of a text are collected (at most its length) and joined with the texts, where bytes are removed.
 
-Everything after the first pass moves places and hashes; texts move twice, by content key. No pairs are made. Cuts of
+Everything after the first pass moves places and hashes; texts move twice, by their key. No pairs are made. Cuts of
 lineage lie in the shared folder. Hashes of 64 bits within an anchor's group, and md5, stand for equality of bytes.
+Anchors and runs of very many rows are joined apart (``join_counted``), so that they are no single task's work.
 
 The same steps take words instead of bytes (``unit``): a word is the 8 bytes of its hash, and places and lengths count
 words. The pipeline removes both kinds, so that no number of bytes decides whether a passage of 51 words is found.
 
+``repeat_digest`` removes every copy of a repeated string. ``remove_repeats`` leaves the first, by key and then place, so
+that each passage stays once in the corpus: texts go by row there, each run kind is represented by its first row, and of
+equal windows all but the first count.
+
 Defined results: a null text is empty; texts shorter than ``length`` have no spans, and copies of longer ones lose all
-bytes; repeated rows count as copies; an empty table gives an empty table; only the key and ``text`` are read.
+bytes (``remove_repeats``: all but the first row; rows without a key come last, and rows of one key in the table's
+order); repeated rows count as copies; an empty table gives an empty table. ``repeat_digest`` reads the key and the text
+only; ``remove_repeats`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, release, small_batches
+from .common import cut, join_counted, read, release, sliced, spare
 from .near_dup import grouped
 from .shingles import mix
 from .suffix import suffix_array
@@ -133,9 +142,8 @@ def coded(text: str | None, unit: int) -> bytes:
 def anchor_rows(length: int, gram: int, kind: str, unit: int = 1):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "id", "fp", "h", "q", "s", "e"]
-        for b in batches:
+        for b in sliced(batches):
             rows: list[list] = [[] for _ in range(7)]
-            done = 0
             ids, cids = b.column(0), b.column(1)
             for i in range(b.num_rows):
                 data = coded(b.column(2)[i].as_py(), unit)
@@ -145,7 +153,7 @@ def anchor_rows(length: int, gram: int, kind: str, unit: int = 1):
                     rows[0].append(i)
                     for x, v in zip(rows[1:], r, strict=False):
                         x.append(v)
-                if len(rows[0]) - done > 200_000 or i == b.num_rows - 1:
+                if len(rows[0]) > 200_000 or i == b.num_rows - 1:
                     yield out(ids, cids, rows, names)
                     rows = [[] for _ in range(7)]
             if rows[0]:
@@ -158,17 +166,23 @@ def anchor_rows(length: int, gram: int, kind: str, unit: int = 1):
     return task, f"cid binary, id {kind}, fp long, h long, q long, s long, e long"
 
 
-def contexts(length: int, unit: int = 1):
-    """Rows (text, cid, wanted: array of (fp, n, q, s, e)) to one row per run and part of its offsets."""
+def contexts(length: int, kind: str, unit: int = 1):
+    """Rows (text, id, cid, wanted: array of (fp, n, q, s, e)) to one row per run and part of its offsets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "part", "core", "cid", "q", "lo", "hi", "left", "right"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        for b in batches:
+        names = ["fp", "part", "core", "q", "lo", "hi", "left", "right", "id", "cid"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def out(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))], names=names)
+
+        for b in sliced(batches):
             rows: list[tuple] = []
+            at: list[int] = []
             size = 0
-            for t, cid, wanted in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                data, cid = coded(t.as_py(), unit), cid.as_py()
+            for i, (t, wanted) in enumerate(zip(b.column(0), b.column(3), strict=True)):
+                data = coded(t.as_py(), unit)
                 for w in wanted.as_py():
                     q = w["q"]
                     first, last = q - w["e"], q - w["s"]  # offsets of the anchor in its windows
@@ -178,16 +192,21 @@ def contexts(length: int, unit: int = 1):
                         lo, hi = max(first, p * step), min(last, (p + 1) * step - 1)
                         # bytes that all windows of the part hold
                         common = data[(q - p * step) * unit : (q + length - min(length - 1, (p + 1) * step - 1)) * unit]
-                        left, right = data[(q - hi) * unit : q * unit][::-1], data[q * unit : (q + length - lo) * unit]
-                        rows.append((w["fp"], p, xxhash.xxh3_64_intdigest(common) - (1 << 63), cid, q, lo, hi, left, right))
-                        size += len(left) + len(right)
+                        if step == 1:  # the whole window
+                            left = right = b""
+                        else:
+                            left, right = data[(q - hi) * unit : q * unit][::-1], data[q * unit : (q + length - lo) * unit]
+                        rows.append((w["fp"], p, xxhash.xxh3_64_intdigest(common) - (1 << 63), q, lo, hi, left, right))
+                        at.append(i)
+                        size += len(left) + len(right) + 64
                 if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, size = [], 0
+                    yield out(b, at, rows)
+                    rows, at, size = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield out(b, at, rows)
 
-    return task, "fp long, part int, core long, cid binary, q long, lo int, hi int, left binary, right binary"
+    schema = "fp long, part int, core long, q long, lo int, hi int, left binary, right binary"
+    return task, f"{schema}, id {kind}, cid binary"
 
 
 def ordered(sides: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +236,9 @@ def ordered(sides: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.r_[0, shared]
 
 
-def repeated_windows(length: int, unit: int = 1):
-    """Groups (fp, part, core) of runs to spans (cid, s, e) of bytes that their repeated windows cover."""
+def repeated_windows(length: int, unit: int = 1, first: bool = False):
+    """Groups (fp, part, core) of runs to spans (cid, s, e) of bytes that their repeated windows cover; with ``first``,
+    runs come in the order of their texts, and the first of equal windows is left out."""
 
     def solve(rows: list[dict], starts: list[int]) -> Iterator[tuple]:
         group = np.zeros(len(rows), np.int64)
@@ -245,7 +265,8 @@ def repeated_windows(length: int, unit: int = 1):
             same = (key[:, 1:] == key[:, :-1]) & (key[:, 1:] >= 0)
             twice = np.zeros((len(depth), n), bool)
             twice[:, 1:] |= same
-            twice[:, :-1] |= same
+            if not first:
+                twice[:, :-1] |= same
             hit = np.zeros_like(twice)
             np.put_along_axis(hit, place, twice, axis=1)
             for i in np.flatnonzero(hit.any(axis=0)).tolist():
@@ -269,7 +290,7 @@ def repeated_windows(length: int, unit: int = 1):
         for g in grouped(batches, 3):
             if g.num_rows < 2:
                 continue
-            own = {(r["cid"], r["q"]): r for r in g.to_pylist()}  # a repeated row gives the same run again
+            own = {(r["cid"], r["q"]): r for r in g.drop_columns(["id"]).to_pylist()}  # a repeated row gives the same run again
             if len(own) < 2:
                 continue
             starts.append(len(rows))
@@ -292,33 +313,51 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
-    """(cid, spans: array of (s, e)) for texts with repeated bytes, or words; ``own`` has id, cid and text."""
+def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1, first: bool = False) -> DataFrame:
+    """(cid, spans: array of (s, e)) for texts with repeated bytes, or words; ``own`` has id, cid and text.
+
+    With ``first``, the first of equal windows doesn't count, by id and then place; each row must have a cid of its own.
+    """
     kind = dict(own.dtypes)["id"]
-    small_batches(own.sparkSession)
     task, schema = anchor_rows(length, gram, kind, unit)
     anchors = cut(own.select("id", "cid", "text").mapInArrow(task, schema), "repeat-anchors")
     counts = anchors.groupBy("fp").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("n > 1")
-    # written first: a join of two plain shuffles can be split where one anchor has very many rows
-    counts = cut(counts.select("fp", (F.col("h0") != F.col("h1")).alias("mixed")), "repeat-counts")
-    rows = cut(anchors.join(counts, "fp"), "repeat-rows")
+    counts = cut(counts.select("fp", "n", (F.col("h0") != F.col("h1")).alias("mixed")), "repeat-counts")
+    rows = cut(join_counted(anchors, counts, ["fp"]).drop("n"), "repeat-rows")
     release(anchors, counts)
 
-    kinds = rows.groupBy("fp", "h", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("cid", "id", "q", "s", "e")).alias("r"))
+    kinds = rows.groupBy("fp", "h", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("id", "q", "cid", "s", "e")).alias("r"))
     kinds = cut(kinds, "repeat-kinds")
-    whole = rows.join(kinds.filter("n > 1").select("fp", "h"), ["fp", "h"]).select("cid", "s", (F.col("e") + length).alias("e"))
+    span = [F.col("s"), (F.col("e") + length).alias("e")]
+    several = kinds.filter("n > 1").select("fp", "h", "n", F.struct("r.cid", "r.q").alias("r0"))
+    whole = join_counted(rows.drop("mixed"), several, ["fp", "h"])
+    if first:
+        whole = whole.filter(F.struct("cid", "q") != F.col("r0"))
 
     sizes = cut(kinds.filter("mixed").groupBy("fp").agg(F.count("*").alias("n")), "repeat-sizes")
-    wanted = kinds.filter("mixed").select("fp", "r").join(sizes, "fp").groupBy("r.cid", "r.id")
-    wanted = wanted.agg(F.collect_list(F.struct("fp", "n", "r.q", "r.s", "r.e")).alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"cid": "_cid", "id": "_id"})
-    texts = own.join(wanted, (own["cid"] == wanted["_cid"]) & own["id"].eqNullSafe(wanted["_id"])).select("text", "cid", "wanted")
-    task, schema = contexts(length, unit)
-    met = texts.mapInArrow(task, schema).repartition("fp", "part", "core").sortWithinPartitions("fp", "part", "core")
-    task, schema = repeated_windows(length, unit)
-    found = met.mapInArrow(task, schema)
-    spans = whole.unionByName(found).groupBy("cid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    spans = cut(spans, "repeat-spans")
+    wanted = join_counted(kinds.filter("mixed").select("fp", "r"), sizes, ["fp"])
+
+    def met(which: DataFrame) -> DataFrame:
+        by = which.groupBy("r.cid", "r.id").agg(F.collect_list(F.struct("fp", "n", "r.q", "r.s", "r.e")).alias("wanted"))
+        by = by.withColumnsRenamed({"cid": "_cid", "id": "_id"})
+        texts = own.join(by, (own["cid"] == by["_cid"]) & own["id"].eqNullSafe(by["_id"])).select("text", "id", "cid", "wanted")
+        task, schema = contexts(length, kind, unit)
+        return texts.mapInArrow(task, schema)
+
+    many = length * SPLIT  # kinds of an anchor beyond which a part is one offset
+    groups = met(wanted.filter(F.col("n") <= many)).repartition("fp", "part", "core").sortWithinPartitions("fp", "part", "core", "id", "q")
+    task, schema = repeated_windows(length, unit, first)
+    found = groups.mapInArrow(task, schema)
+    spans = whole.select("cid", *span).unionByName(found)
+    if not sizes.filter(F.col("n") > many).isEmpty():
+        single = cut(met(wanted.filter(F.col("n") > many)).drop("hi", "left", "right"), "repeat-single")
+        equal = single.groupBy("fp", "part", "core").agg(F.count("*").alias("n"), F.min(F.struct("id", "q", "cid")).alias("r")).filter("n > 1")
+        equal = cut(equal.select("fp", "part", "core", "n", F.struct("r.cid", "r.q").alias("r0")), "repeat-equal")
+        more = join_counted(single, equal, ["fp", "part", "core"])
+        if first:
+            more = more.filter(F.struct("cid", "q") != F.col("r0"))
+        spans = spans.unionByName(more.select("cid", (F.col("q") - F.col("lo")).alias("s"), (F.col("q") - F.col("lo") + length).alias("e")))
+    spans = cut(spans.groupBy("cid").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "repeat-spans")
     release(rows, kinds, sizes)
     return spans
 
@@ -328,31 +367,42 @@ def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("cid"), text.alias("text"))
 
 
+def _kept(data: bytes, cuts: list[list[int]]) -> list[bytes]:
+    """The pieces between the cuts."""
+    at = [0, *(e for _, e in cuts)]
+    return [data[a:z] for a, z in zip(at, [*(s for s, _ in cuts), len(data)], strict=True)]
+
+
+def _text(pieces: list[bytes]) -> str:
+    """The pieces as text; a character that lost a byte is left out."""
+    return "".join(k.decode("utf-8", "ignore") for k in pieces)
+
+
 def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans and the hash of the bytes that stay."""
+    """Per document: n_bytes, n_removed, n_spans, the hash of the bytes that stay, and the text that they are (characters
+    that lost a byte are left out)."""
     own = _own(docs, key, text)
     kind = dict(own.dtypes)["id"]
     # the merge hint: texts move at every size, and a third of all texts may be one content
     joined = own.join(repeat_spans(own, length, gram).hint("merge"), "cid", "left").select("id", "text", "spans")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for t, spans in zip(b.column(1), b.column(2), strict=True):
-                data, n, at, sha = _encode(t.as_py()), 0, 0, hashlib.sha256()
+                data = _encode(t.as_py())
                 cuts = merged([(x["s"], x["e"]) for x in spans.as_py() or ()])
-                for s, e in cuts:
-                    sha.update(data[at:s])
-                    n += e - s
-                    at = e
-                sha.update(data[at:])
-                rows.append((len(data), n, len(cuts), sha.hexdigest()))
-            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                kept = _kept(data, cuts)
+                sha = hashlib.sha256()
+                for k in kept:
+                    sha.update(k)
+                rows.append((len(data), len(data) - sum(map(len, kept)), len(cuts), sha.hexdigest(), _text(kept)))
+            columns = zip(*rows, strict=True)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(columns, types, strict=True)]], names=names)
 
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return joined.mapInArrow(task, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    return joined.mapInArrow(task, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def word_places(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -362,20 +412,26 @@ def word_places(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int | None = LENGTH, gram: int = GRAM, words: int | None = None
 ) -> DataFrame:
-    """``docs`` with repeated bytes removed; a character that loses a byte goes as a whole. Rows stay, also empty ones.
+    """``docs`` without bytes that a string of ``length`` bytes covers which also starts earlier: in a row of a smaller
+    key, in an earlier row of the same key, or before in the text. A character that loses a byte goes as a whole. Rows
+    stay, also empty ones.
 
-    With ``words``, passages of so many words that occur more than once go, too, however few bytes they have.
+    With ``words``, the same holds for passages of so many words, however few bytes they have.
     """
-    columns = docs.columns
-    own = _own(docs, key, text)
-    spans = repeat_spans(own, length, gram).select("cid", F.lit(False).alias("words"), "spans")
+    row, found = spare(docs, "_repeat_row"), spare(docs, "_repeat_spans")
+    # written, so that a number stays with its row
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "repeat-docs")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    own = rows.select(order.alias("id"), F.unhex(F.lpad(F.hex(row), 16, "0")).alias("cid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = []
+    if length:
+        parts.append(repeat_spans(own, length, gram, first=True).select("cid", F.lit(False).alias("words"), "spans"))
     if words:
-        spans = spans.unionByName(repeat_spans(own, words, min(words, WORD_GRAM), WORD_UNIT).select("cid", F.lit(True).alias("words"), "spans"))
-    spans = spans.groupBy(F.col("cid").alias("_repeat_cid")).agg(F.collect_list(F.struct("words", "spans")).alias("_repeat_spans"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.join(spans.hint("merge"), F.unhex(F.md5(body.cast("binary"))) == F.col("_repeat_cid"), "left")
+        parts.append(repeat_spans(own, words, min(words, WORD_GRAM), WORD_UNIT, first=True).select("cid", F.lit(True).alias("words"), "spans"))
+    spans = reduce(DataFrame.unionByName, parts).groupBy("cid").agg(F.collect_list(F.struct("words", "spans")).alias(found))
+    spans = spans.select(F.conv(F.hex("cid"), 16, 10).cast("long").alias(row), found)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -384,18 +440,15 @@ def remove_repeats(
             if t is None or x is None:
                 out.append(t)
                 continue
-            data, at, kept, gone = _encode(t), 0, [], []
+            data, gone = _encode(t), []
             for f in x:
                 places = [(r["s"], r["e"]) for r in f["spans"]]
                 gone += word_places(data, places) if f["words"] else places
-            for s, e in merged(gone):
-                kept.append(data[at:s])
-                at = e
-            kept.append(data[at:])
-            out.append(b"".join(k.decode("utf-8", "ignore").encode() for k in kept).decode("utf-8", "ignore"))
+            out.append(_text(_kept(data, merged(gone))))
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text, F.when(F.col("_repeat_spans").isNull(), F.col(text)).otherwise(clean(F.col(text), F.col("_repeat_spans")))).select(*columns)
+    joined = rows.join(spans.hint("merge"), row, "left")
+    return joined.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(clean(F.col(text), F.col(found)))).drop(row, found)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,34 @@ def repeats(texts, length):
     return out
 
 
+def first_kept(rows, length, n_words):
+    """Texts of (id, text) rows, in their order, without what windows of bytes or words cover that start earlier, too."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, out = set(), {}
+    for i in order:
+        data = (rows[i][1] or "").encode()
+        gone = [False] * len(data)
+
+        def look(window, a, z, gone=gone):
+            if window in seen:
+                gone[a:z] = [True] * (z - a)
+            seen.add(window)
+
+        for a in range(len(data) - length + 1):
+            look(data[a : a + length], a, a + length)
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        for k in range(len(at) - n_words + 1):
+            look(tuple(data[a:z] for a, z in at[k : k + n_words]), at[k][0], at[k + n_words - 1][1])
+        kept, piece = [], b""
+        for b, g in zip(data, gone, strict=True):
+            if g:
+                kept, piece = [*kept, piece], b""
+            else:
+                piece += bytes([b])
+        out[i] = None if rows[i][1] is None else "".join(x.decode("utf-8", "ignore") for x in [*kept, piece])
+    return [out[i] for i in range(len(rows))]
+
+
 def shingles(text, n):
     w = words(lower(text))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
