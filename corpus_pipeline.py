@@ -33,8 +33,10 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes, that occur more than once go from the texts."""
-    return _measured(remove_repeats(docs, words=WORDS))
+    """Of passages of over 50 words that occur more than once (``WORDS`` = 51), the first stays: in the smallest id, then
+    place. Words are compared whole, whatever white space parts them. Rows stay, also those that have no text left; rows
+    without an id come last, repeated rows in the table's order."""
+    return _measured(remove_repeats(docs, length=None, words=WORDS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
