@@ -308,33 +308,73 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_block_top_prunes():
-    r = np.random.default_rng(1)
-    x = r.integers(-100, 100, (3000, 16))
-    q = x[::60] + r.integers(-3, 3, (50, 16))
-    rows, cols, score = topk.block_top(x, np.arange(3000), q, np.arange(3000, 3050), 5)
+def best_of(x, ids, q, qid, k=5):
     full = q @ x.T
-    for i in range(50):
-        best = np.lexsort((np.arange(3000), -full[i]))[:5]
-        assert cols[rows == i].tolist() == best.tolist() and score[rows == i].tolist() == full[i][best].tolist()
+    return [[j for j in np.lexsort((ids, -full[i])) if ids[j] != qid[i]][:k] for i in range(len(q))]
+
+
+def lists_of(x, q, qid, ids=None, resolved=None):
+    """What reading the lists gives; vectors whose missing components are asked for are counted in ``resolved``."""
+    ids = np.arange(len(x)) if ids is None else ids
+    lists = topk.Lists(x, ids)
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            resolved.append(len(at))
+            return np.asarray(self)[at]
+
+    if resolved is not None:
+        lists.x = lists.x.view(Counted)
+    rows, cols, score, share = topk.read_lists(lists, q, qid, 5)
+    assert [cols[rows == i].tolist() for i in range(len(q))] == best_of(x, ids, q, qid)
+    assert score.tolist() == [int(q[i] @ x[j]) for i, j in zip(rows, cols, strict=True)]
+    return share
+
+
+def test_lists_stop_early():
+    """Skewed lists are read for a small part, and only a few vectors are looked at as a whole."""
+    r = np.random.default_rng(1)
+    x = (r.exponential(size=(6000, 6)) * 300).astype(np.int64)
+    resolved = []
+    share = lists_of(x, x[:100], np.arange(100), resolved=resolved)
+    assert share.mean() < 0.35 and sum(resolved) <= topk.FEW * 5 * 100
+    x = np.concatenate([r.integers(-5, 6, (2000, 16)), r.integers(90, 100, (15, 16))])
+    assert lists_of(x, x[-10:], np.arange(2005, 2015)).max() < 0.051
 
 
-def test_block_top_resolves_few(monkeypatch):
-    """Lists are read on until the bounds leave few candidates, also where half of each list decides nothing."""
+def test_lists_of_many_dimensions():
+    """Independent dimensions are read almost to the end; results stay whole, whatever was read."""
     r = np.random.default_rng(2)
     x = np.floor(256 * r.normal(size=(2000, 64)) / 8).astype(np.int64)
-    resolved, plain = [], np.einsum
-
-    def einsum(how, a, b):
-        resolved.append(len(a))
-        return plain(how, a, b)
-
-    monkeypatch.setattr(topk.np, "einsum", einsum)
-    rows, cols, _ = topk.block_top(x, np.arange(2000), x[:40], np.arange(40), 5)
-    assert 200 <= sum(resolved) < 0.02 * 40 * 2000
-    full = x[:40] @ x.T
-    for i in range(40):
-        assert cols[rows == i].tolist() == [j for j in np.lexsort((np.arange(2000), -full[i])) if j != i][:5]
+    resolved = []
+    share = lists_of(x, x[:40], np.arange(40), resolved=resolved)
+    assert 0.5 < share.mean() < 1 and sum(resolved) <= topk.FEW * 5 * 40
+
+
+def test_lists_of_ties_and_few_rows():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 4, 5, 6, 19, 20, 21, 60):
+        for dims in (0, 1, 3):
+            x, q = r.integers(-2, 3, (n, dims)), r.integers(-2, 3, (9, dims))
+            ids = r.permutation(3 * n)[:n]
+            lists_of(x, q, r.integers(0, max(n, 1), 9), ids)
+    x = r.integers(-(10**7), 10**7, (300, 5))  # sums beyond 32 bits
+    lists_of(x, x[:20] * 40, np.arange(20))
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 70)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    r = np.random.default_rng(4)
+    x = r.integers(-300, 300, (600, 4))
+    x[100:300] = x[100]  # repeated rows spread over the blocks
+    v = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, v array<long>")
+    got = {}
+    for g in sorted(topk.top_k(v, v.filter("vec_id % 10 = 0"), shares=True).collect()):
+        got.setdefault(g["query_id"], []).append(g["vec_id"])
+        assert 0 < g["share"] <= 1
+    ask = np.arange(0, 600, 10)
+    assert [got[i] for i in ask.tolist()] == best_of(x, np.arange(600), x[ask], ask)
 
 
 # BPE and packing
