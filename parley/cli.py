@@ -1,6 +1,8 @@
-"""Command line: ``python -m parley.cli check-url|init|ingest|extract|run|query ...`` over a ledger folder.
+"""Command line: ``python -m parley.cli check-url|init|capture|ingest|extract|run|query ...`` over a ledger folder.
 
-``run`` is ``ingest`` and then ``extract`` over the transcripts of that batch's folder. Errors end with status 1.
+``capture`` lands share URLs through a fetcher, ``ingest`` takes a folder of landed files, and ``run`` is either of them and
+then ``extract`` over the new transcripts. Fetchers and model transports are functions named as ``module:function``, or given
+to ``main``; none is built in, as nothing here fetches from a network. Errors end with status 1.
 """
 
 from __future__ import annotations
@@ -9,27 +11,22 @@ import argparse
 import json
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass
+from importlib import import_module
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.urls import share_url_gate
 from .operators.citation import fallback_summary, verdict_histogram
-from .operators.extract import file_extractor, run_extraction
+from .operators.capture import Fetcher, land
+from .operators.extract import Extractor, ModelConfig, Transport, file_extractor, model_extractor, run_extraction
 from .plans import ledger as L
 from .streaming.captures import append_captures
 
 EMPTY = "No records found."
 
 
-@dataclass(frozen=True)
-class ModelConfig:
-    model: str
-    api_key: str
-    base_url: str
-
-
 def model_config(model: str | None, env: Mapping[str, str], prefix: str = "OPENROUTER") -> ModelConfig:
     """A flag goes before the environment; there is no default model, and a key is needed."""
     name = (model or env.get(f"{prefix}_MODEL", "")).strip()
@@ -93,47 +90,91 @@ def show(rows: DataFrame, lines: DataFrame, as_json: bool) -> None:
         print(EMPTY)
 
 
+class Usage(ValueError):
+    """What was asked for can't be done with what was given."""
+
+
+def _named(name: str | None):
+    """The function that ``module:function`` names."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
+def _extractor(args: argparse.Namespace, env: Mapping[str, str], transport: Transport | None) -> tuple[Extractor, str, str | None]:
+    """Extractor, its name and the model: a file of claims, or a model behind a transport."""
+    if args.claims_json:
+        return file_extractor(args.claims_json), args.extractor_name or "file", args.model or env.get("OPENROUTER_MODEL")
+    config = model_config(args.model, env)
+    transport = transport or _named(args.transport)
+    if transport is None:
+        raise Usage("a model needs a transport (--transport module:function)")
+    return model_extractor(config, transport), args.extractor_name or "model", config.model
+
+
+def _capture(spark: SparkSession, ledger: L.Ledger, args: argparse.Namespace, fetch: Fetcher | None) -> int:
+    """URLs to captures; 1 if any of them failed."""
+    fetch = fetch or _named(args.fetcher)
+    if fetch is None:
+        raise Usage("capture needs a fetcher (--fetcher module:function)")
+    urls = spark.createDataFrame([(u,) for u in args.url], "url string")
+    files, failed = land(urls, fetch, args.fetched_at, args.output_dir or f"{ledger.path}/landed")
+    print("captured" if append_captures(ledger, files, args.batch, args.fetched_at) else "batch is there already")
+    errors = failed.collect()  # a row a URL of the command line
+    for r in errors:
+        print(json.dumps({"url": r["url"], "error": r["error"]}, ensure_ascii=False))
+    return int(bool(errors))
+
+
 def _ingest(spark: SparkSession, ledger: L.Ledger, args: argparse.Namespace) -> None:
     files = spark.read.text(args.folder, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
     print("ingested" if append_captures(ledger, files, args.batch, args.fetched_at) else "batch is there already")
 
 
-def _extract(spark: SparkSession, ledger: L.Ledger, args: argparse.Namespace, batch: str) -> int:
-    """Runs over one transcript or all; 1 if any run failed."""
+def _extract(ledger: L.Ledger, args: argparse.Namespace, batch: str, how: tuple[Extractor, str, str | None], fetched_at: str | None = None) -> int:
+    """Runs over one transcript, those of a capture time, or all; 1 if any run failed."""
     t = ledger.tables()
     transcripts = L.list_transcripts(t)
     if args.transcript:
         L.get_transcript(t, args.transcript)
         transcripts = transcripts.filter(F.col("transcript_id") == args.transcript)
-    frames = run_extraction(
-        transcripts, t["transcript_messages"], t["transcript_message_blocks"], file_extractor(args.claims_json), args.extractor_name,
-        F.lit(args.started_at), model=args.model or os.environ.get("OPENROUTER_MODEL"),
-    )
+    if fetched_at:
+        transcripts = transcripts.filter(F.col("fetched_at") == fetched_at)
+    extractor, name, model = how
+    frames = run_extraction(transcripts, t["transcript_messages"], t["transcript_message_blocks"], extractor, name, F.lit(args.started_at), model=model)
     ledger.append(batch, frames)
     t = ledger.tables()
     mine = t["extraction_runs"].filter(F.col("started_at") == args.started_at)
-    rows = outcome(t | {"extraction_runs": mine})
+    rows = outcome({"claim_support_checks": t["claim_support_checks"], "extraction_runs": mine})
     show(rows, rows.select(F.concat_ws(" ", "run_id", "status", F.col("output_claim_count").cast("string"), F.to_json("support_verdicts")).alias("line")), False)
     return int(not mine.filter("status = 'failed'").isEmpty())
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, fetch: Fetcher | None = None, transport: Transport | None = None) -> int:
     parser = argparse.ArgumentParser(prog="parley")
     parser.add_argument("--ledger", default="data/ledger")
+    parser.add_argument("--env-file", default=".env")
     sub = parser.add_subparsers(dest="command", required=True)
     check = sub.add_parser("check-url")
     check.add_argument("url")
     sub.add_parser("init")
-    for name in ("ingest", "extract", "run"):
+    for name in ("capture", "ingest", "extract", "run"):
         p = sub.add_parser(name)
         p.add_argument("--batch", required=True)
+        if name in ("ingest", "run"):
+            p.add_argument("folder", nargs="?" if name == "run" else None)
+        if name in ("capture", "run"):
+            p.add_argument("--url", action="append", required=name == "capture")
+            p.add_argument("--fetcher")
+            p.add_argument("--output-dir")
         if name != "extract":
-            p.add_argument("folder")
             p.add_argument("--fetched-at", required=True)
-        if name != "ingest":
-            p.add_argument("--claims-json", required=True)
+        if name in ("extract", "run"):
+            p.add_argument("--claims-json")
+            p.add_argument("--transport")
             p.add_argument("--transcript")
-            p.add_argument("--extractor-name", default="file")
+            p.add_argument("--extractor-name")
             p.add_argument("--model")
             p.add_argument("--started-at", required=True)
     query = sub.add_parser("query")
@@ -149,16 +190,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             row = spark.range(1).select(share_url_gate(F.lit(args.url)).alias("g")).first()["g"]
             print(row["conversation_id"] or f"unsupported: {row['error']}")
             return int(row["error"] is not None)
+        env = dict(os.environ)
+        if Path(args.env_file).is_file():
+            load_dotenv(Path(args.env_file).read_text(encoding="utf-8"), env)
         if args.command == "init":
-            for name in sorted(L.TABLES):
-                print(name, ledger.table(name).count())
+            print("made " + (", ".join(ledger.create()) or "nothing: the tables are there"))
             return 0
-        if args.command in ("ingest", "run"):
-            _ingest(spark, ledger, args)
-        if args.command in ("extract", "run"):
-            return _extract(spark, ledger, args, args.batch if args.command == "extract" else args.batch + "-extract")
+        if args.command == "capture":
+            return _capture(spark, ledger, args, fetch)
         if args.command == "ingest":
+            _ingest(spark, ledger, args)
             return 0
+        if args.command == "extract":
+            return _extract(ledger, args, args.batch, _extractor(args, env, transport))
+        if args.command == "run":
+            if bool(args.folder) == bool(args.url):
+                raise Usage("run takes a folder or URLs")
+            how = _extractor(args, env, transport)  # first: without it nothing is captured
+            if args.folder:
+                _ingest(spark, ledger, args)
+            elif _capture(spark, ledger, args, fetch):
+                return 1
+            return _extract(ledger, args, args.batch + "-extract", how, args.fetched_at)
         t = ledger.tables()
         if args.what == "transcripts":
             rows = L.list_transcripts(t, args.conversation)
@@ -170,7 +223,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             rows = L.list_extraction_runs(t, args.transcript)
             show(rows, run_lines(rows), args.json)
         return 0
-    except (L.LedgerError, L.QueryError) as e:
+    except (L.LedgerError, ValueError) as e:
         print(json.dumps({"error": str(e)}, ensure_ascii=False))
         return 1
 

@@ -18,6 +18,7 @@ STOP_WORDS = (
     "a an and are as at be but by for if in into is it its of on or that the their then there these this to was were will with".split()
 )
 #: Role words, in the order in which they are sought.
+CHALLENGE_MARKS = ("just a moment", "challenges.cloudflare.com")
 ROLE_ALIASES = {"human": "user", "user": "user", "you": "user", "assistant": "assistant", "claude": "assistant", "system": "system"}
 
 
@@ -80,7 +81,7 @@ def sniff_format(x: Column) -> Column:
 
 def is_challenge(x: Column) -> Column:
     low = F.lower(x)
-    return low.contains("just a moment") & low.contains("challenges.cloudflare.com")
+    return low.contains(CHALLENGE_MARKS[0]) & low.contains(CHALLENGE_MARKS[1])
 
 
 def is_app_shell(x: Column) -> Column:

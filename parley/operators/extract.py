@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,40 @@ def callable_extractor(ask: Callable[[str], str]) -> Extractor:
     return extract
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    model: str
+    api_key: str
+    base_url: str
+
+
+#: Sends a JSON body to the model that the config names; gives the response's text, or raises.
+Transport = Callable[[ModelConfig, str], str]
+
+
+def model_extractor(config: ModelConfig, transport: Transport, max_tokens: int = 4096) -> Extractor:
+    """A model behind a transport that runs on the executors: request, response, unwrapped text; errors fail their run only."""
+
+    def extract(asked: DataFrame) -> DataFrame:
+        def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = []
+                for key, body in zip(f["transcript_id"], f["body"], strict=True):
+                    try:
+                        rows.append((key, transport(config, body), None))
+                    except Exception as e:  # whatever a client raises is this run's failure
+                        rows.append((key, None, f"Extractor raised {type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["transcript_id", "response", "failure"], dtype=object)
+
+        sent = asked.select("transcript_id", completion_request(F.col("prompt"), config.model, max_tokens).alias("body"))
+        sent = sent.mapInPandas(task, "transcript_id string, response string, failure string")
+        told = sent.withColumn("r", unwrap_completion(F.col("response"), config.model))
+        said = F.concat(F.lit("Extractor raised ModelError: "), F.col("r.error"))
+        return told.select("transcript_id", F.when(F.col("failure").isNull(), F.col("r.content")).alias("raw_output"), F.coalesce("failure", said).alias("error_message"))
+
+    return extract
+
+
 def completion_request(prompt: Column, model: str, max_tokens: int = 4096) -> Column:
     """The JSON body of a chat completion with the prompt as its one message."""
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))

@@ -16,15 +16,17 @@ from ..sources.snapshot import parse_snapshots
 
 def capture_frame(files: DataFrame, fetched_at: str, host: str = "claude.ai") -> DataFrame:
     """Files (file_path, text) to captures that ``ingest`` takes; the file's name up to its first dot names the
-    conversation."""
+    conversation, unless conversation_id and url are there."""
     name = F.regexp_extract("file_path", r"([^/]*?)(?:\.[^/]*)?\z", 1)
+    url = F.concat(F.lit(f"https://{host}/share/"), name)
+    name, url = (F.col(c) if c in files.columns else x for c, x in (("conversation_id", name), ("url", url)))
     data = F.col("text").cast("binary")
     media = F.when(F.lower("file_path").endswith(".json"), "application/json").when(F.lower("file_path").endswith(".html"), "text/html").otherwise("application/octet-stream")
     base = files.select(
         "file_path",
         "text",
         name.alias("conversation_id"),
-        F.concat(F.lit(f"https://{host}/share/"), name).alias("source_url"),
+        url.alias("source_url"),
         F.lit(fetched_at).alias("fetched_at"),
         F.sha2(data, 256).alias("sha256"),
         F.octet_length(data).cast("long").alias("byte_size"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley import cli
+from parley.operators.capture import URL_ERRORS, decode_body, land
 from parley.operators.contract import validate
 from parley.operators.extract import callable_extractor, run_extraction, table_extractor, unwrap_completion
 from parley.operators.citation import lexical_check
@@ -161,6 +162,107 @@ def test_cli_run(spark, tmp_path, capsys):
     assert cli.main(["check-url", "http://x"], spark) == 1
 
 
+def pages():
+    """A fetcher over a few pages; made here, so that it travels to the executors by value."""
+    api = "https://claude.ai/api/chat_snapshots/{}?rendering_mode=messages&render_all_tools=true".format
+    known = {
+        api("kites"): json.dumps(SNAPSHOT), api("page%20two"): "<p>no JSON</p>", "https://claude.ai/share/page two": "<div data-role='user'>Only a page.</div>",
+        api("guarded"): "{Just a moment ... challenges.cloudflare.com", "https://claude.ai/share/guarded": '<div id="root"></div><script src="claude-ai.js"></script>', api("dumb"): "[]",
+    }
+
+    def fetch(url):
+        if url not in known:
+            raise LookupError(f"no page {url[-20:]}")
+        return known[url]
+
+    return fetch
+
+
+def test_capture(spark, tmp_path):
+    urls = [f"https://claude.ai/share/{x}" for x in ("kites", "page two", "guarded", "gone", "dumb")] + ["http://claude.ai/share/x", "https://else.org/share/x", "https://claude.ai/x"]
+    files, failed = land(spark.createDataFrame([(u,) for u in urls], "url string"), pages(), NOW, tmp_path.as_uri())
+    errors = {r["url"]: r["error"] for r in failed.collect()}
+    assert errors == {
+        urls[2]: "Only the web app shell was served, and the snapshot API was no help (the snapshot API gave a challenge page).",
+        urls[3]: "no page claude.ai/share/gone", **dict(zip(urls[5:], URL_ERRORS.values(), strict=True)),
+    }
+    landed = {r["conversation_id"]: r for r in files.collect()}
+    assert set(landed) == {"kites", "page two", "dumb"} and landed["kites"]["file_path"].endswith("/raw/kites-20260707T100000Z.json")
+    assert landed["page two"]["file_path"].endswith(".html") and landed["dumb"]["text"] == "[]"  # kept, though nothing can be parsed
+    again, _ = land(spark.createDataFrame([(urls[3],)], "url string"), pages(), NOW, tmp_path.as_uri())
+    assert again.count() == 3  # the stamp is there
+    assert decode_body("é".encode("latin-1"), "latin-1") == "é" and decode_body(b"a\xff") == "a\ufffd"
+
+
+def test_cli_capture_and_run(spark, tmp_path, capsys):
+    fetch, good = pages(), GOOD[:2]
+
+    def transport(config, body):
+        request = json.loads(body)
+        if "Baking" not in request["messages"][0]["content"]:
+            raise TimeoutError("slow")
+        assert (request["model"], config.api_key, config.base_url) == ("m/1", "secret", "https://models.example.org")
+        return json.dumps({"choices": [{"message": {"content": "```json\n" + json.dumps({"claims": good}) + "\n```"}}]})
+
+    env = tmp_path / "env"
+    env.write_text("OPENROUTER_API_KEY=secret\nOPENROUTER_BASE_URL=https://models.example.org/\n")
+    base = ["--ledger", (tmp_path / "ledger").as_uri(), "--env-file", str(env)]
+    assert cli.main([*base, "init"], spark) == 0 and "claim_ledger" in capsys.readouterr().out
+    assert cli.main([*base, "init"], spark) == 0 and "nothing" in capsys.readouterr().out
+    one = ["--url", "https://claude.ai/share/kites", "--fetched-at", NOW]
+    run = ["run", "--batch", "u", *one, "--started-at", NOW]
+    for wrong in (run, [*run, "--model", "m/1"]):  # no model, no transport: nothing is captured
+        assert cli.main([*base, *wrong], spark, fetch) == 1
+    assert cli.main([*base, "capture", "--batch", "c", *one], spark) == 1  # no fetcher
+    assert cli.main([*base, "query", "transcripts"], spark) == 0 and cli.EMPTY in capsys.readouterr().out
+    assert cli.main([*base, *run, "--model", "m/1"], spark, fetch, transport) == 0
+    assert "succeeded 2" in capsys.readouterr().out
+    later = "2026-07-08T10:00:00Z"
+    two = ["--url", "https://claude.ai/share/page two", "--fetched-at", later]
+    assert cli.main([*base, "run", "--batch", "v", *two, "--started-at", later, "--model", "m/1"], spark, fetch, transport) == 1
+    assert cli.main([*base, "capture", "--batch", "w", "--url", "https://claude.ai/share/none", "--fetched-at", "2026-07-09T10:00:00Z"], spark, fetch) == 1
+    assert '"error": "no page' in capsys.readouterr().out
+    t = L.Ledger(spark, (tmp_path / "ledger").as_uri()).tables()
+    runs = {r["started_at"]: r for r in L.list_extraction_runs(t).collect()}
+    assert (runs[NOW]["model"], runs[NOW]["extractor_name"], runs[NOW]["output_claim_count"]) == ("m/1", "model", 2)
+    assert runs[later]["error_message"] == "Extractor raised TimeoutError: slow" and len(runs) == 2
+    assert {r["source_url"] for r in t["raw_artifacts"].collect()} == {"https://claude.ai/share/kites", "https://claude.ai/share/page two"}
+
+
+def test_lookups_open_one_bucket(store):
+    t = store.tables()
+    found = L.list_transcripts(t, conversation_id="conv1")
+    assert found.count() == 1 and L.list_transcripts(t, conversation_id="none").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    key = found.first()["transcript_id"]
+    assert L.list_transcript_messages(t, key).count() == 3 and L.list_message_blocks(t, key).count() == 4
+
+
+def test_rejected_batches_leave_no_files_and_writers_meet(spark, store, monkeypatch):
+    import os
+
+    root = store.path.removeprefix("file://").removeprefix("file:")
+    before = {t: set(os.listdir(f"{root}/{t}")) for t in ("transcripts", "raw_artifacts")}
+    bad = store.table("transcripts").withColumn("transcript_id", F.lit("tr-x")).withColumn("source_artifact_id", F.lit("none"))
+    with pytest.raises(L.LedgerError, match="references:raw_artifacts"):
+        store.append("bad", {"transcripts": bad})
+    assert {t: set(os.listdir(f"{root}/{t}")) for t in before} == before
+    rows = store.table("raw_artifacts").limit(1).withColumn("artifact_id", F.lit("art-both")).withColumn("file_path", F.lit("f"))
+    commit, other = L.Ledger._commit, L.Ledger(spark, store.path)
+
+    def late(self, *args):
+        """The other writer commits between this one's checks and its commit."""
+        monkeypatch.setattr(L.Ledger, "_commit", commit)
+        assert other.append("other", {"raw_artifacts": rows})
+        return commit(self, *args)
+
+    monkeypatch.setattr(L.Ledger, "_commit", late)
+    with pytest.raises(L.DuplicateArtifactError):
+        store.append("mine", {"raw_artifacts": rows})
+    assert store.table("raw_artifacts").filter("artifact_id = 'art-both'").count() == 1
+
+
 def outcome(spark, store, raw):
     t = store.tables()
     key = t["transcripts"].first()["transcript_id"]
