@@ -4,14 +4,17 @@
    (leading-zero count and mantissa). Texts of one set are one class, whose smallest id stands for it: a group of copies
    is one row from here on.
 2. Registers are banded, 4 to a band: classes that agree in a band meet in a bucket. At the similarity sought two sets
-   miss each other in all 32 bands with a chance of about 5e-8. Buckets of the same members are looked at once; buckets
-   of more than ``CELL`` members are dealt out as a grid of cells, every pair of members in one of them.
-3. In a cell the collision-corrected Jaccard estimate (five deviations of tolerance) joins classes to loose groups, of
-   which a spanning star leaves: as many rows as members, not pairs.
-4. Components of these stars are candidate groups. Their texts are brought together (again in cells), and links are
-   confirmed on the full sets by a search that compares each member with those not yet reached; a spanning tree leaves.
+   miss each other in all 32 bands with a chance of about 5e-8. Buckets of the same members are looked at once.
+3. In a bucket the collision-corrected Jaccard estimate (five deviations of tolerance) joins classes to loose groups, of
+   which a spanning forest leaves: at most as many rows as members, not pairs.
+4. Components of these forests are candidate groups. Their texts are brought together, and links are confirmed on the full
+   sets by a search that compares each member with those not yet reached; a spanning forest leaves.
 5. Components of the confirmed links are the result.
 
+Buckets and groups beyond ``CELL`` are dealt into chunks that all hold the group's hub: near copies join it there, so a
+group of very many copies costs a pass over its members. Only what isn't joined with the hub meets all chunks (``linked``),
+so that no link is lost; groups of very many members that are unlike each other pay for that.
+
 No pairs within a group are emitted, nothing but counts comes to the driver, every cut of lineage lies in the shared
 folder. Chance: 64 bits name a class and its shingles; false links need a collision of these.
 
@@ -22,7 +25,7 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ from .shingles import REGISTERS, estimate, expected_collisions, registers, set_k
 WORDS, PERCENT = 5, 80
 BAND = 4
 BANDS = REGISTERS // BAND
-#: Members of a cell, and shingles of a cell in confirmation.
+#: Members of a chunk, and shingles of a chunk in confirmation.
 CELL = 1024
+#: Members of a bucket's chunk, of which only registers are compared.
+BUCKET = 4096
 CELL_SHINGLES = 1 << 19
 TOLERANCE = 5.0
 
@@ -93,114 +98,182 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def into_cells(members: DataFrame, group: str, nid: str, chunks: str) -> DataFrame:
-    """Adds (c, d): each pair of chunks of a group is a cell, and each member goes to the cells of its chunk."""
-    own = F.pmod(F.xxhash64(nid), F.col(chunks)).cast("int")
-    placed = members.withColumn("_own", own).withColumn("_d", F.explode(F.sequence(F.lit(0), F.greatest(F.col(chunks), F.lit(1)).cast("int") - 1)))
-    return placed.select(
-        group, F.least("_own", "_d").alias("c"), F.greatest("_own", "_d").alias("d"), *[x for x in members.columns if x not in (group, chunks)]
-    )
-
-
-def _bounds(sizes: np.ndarray, filled: np.ndarray, percent: int) -> np.ndarray:
+def _bounds(filled: np.ndarray, percent: int) -> np.ndarray:
     """Estimates below this don't come from sets that are similar enough."""
     j = percent / 100
     return j - TOLERANCE * np.sqrt(j * (1 - j) / np.maximum(filled, 1))
 
 
-def loose_stars(percent: int):
-    """Cells (k, c, d, nid, n, regs) to edges (a, b): a star for each group of members joined by estimates."""
+#: Of a cell's rows: the members' names, and for a member and others those of the others that it is linked with.
+Links = Callable[[int, np.ndarray], np.ndarray]
+Load = Callable[[pa.Table], tuple[np.ndarray, Links]]
 
-    def links(regs: np.ndarray, n: np.ndarray, p: int, rest: np.ndarray) -> np.ndarray:
-        own, other = regs[p], regs[rest]
-        agree = ((other == own) & (own > 0)).sum(axis=1)
-        filled = ((other > 0) | (own > 0)).sum(axis=1)
-        collide = np.array([expected_collisions(n[p], m) for m in n[rest]]) if len(rest) < 8 else expected_collisions(n[p], int(n[rest].min()))
-        close = np.minimum(n[rest], n[p]) * 100 >= percent * np.maximum(n[rest], n[p])
-        return rest[close & (estimate(agree, filled, collide) >= _bounds(n, filled, percent))]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for g in grouped(batches, 3):
-            nid = g.column("nid").to_numpy()
-            _, first = np.unique(nid, return_index=True)
-            nid, n = nid[first], g.column("n").to_numpy()[first]
-            regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)[first]
-            for p, q in _spanning(len(nid), lambda p, rest, regs=regs, n=n: links(regs, n, p, rest)):
-                a.append(nid[p])
-                b.append(nid[q])
-            if len(a) >= 50_000:
-                yield _edges(a, b)
-                a, b = [], []
-        if a:
-            yield _edges(a, b)
+def by_estimate(percent: int) -> Load:
+    """Links by estimates from registers (columns nid, n, regs)."""
 
-    return task
+    def load(g: pa.Table) -> tuple[np.ndarray, Links]:
+        nid, first = np.unique(g.column("nid").to_numpy(), return_index=True)
+        n = g.column("n").to_numpy()[first]
+        regs = np.frombuffer(b"".join(g.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)[first]
+
+        def links(p: int, rest: np.ndarray) -> np.ndarray:
+            own, other = regs[p], regs[rest]
+            agree = ((other == own) & (own > 0)).sum(axis=1)
+            filled = ((other > 0) | (own > 0)).sum(axis=1)
+            collide = np.array([expected_collisions(n[p], m) for m in n[rest]]) if len(rest) < 8 else expected_collisions(n[p], int(n[rest].min()))
+            close = np.minimum(n[rest], n[p]) * 100 >= percent * np.maximum(n[rest], n[p])
+            return rest[close & (estimate(agree, filled, collide) >= _bounds(filled, percent))]
+
+        return nid, links
 
+    return load
 
-def _edges(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+def by_sets(words: int, percent: int) -> Load:
+    """Links that hold on the full sets (columns nid, text)."""
 
-def _spanning(n: int, links) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest: each reached member is compared with those not yet reached."""
-    rest = np.arange(n)
-    while len(rest) > 1:
-        frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
+    def load(g: pa.Table) -> tuple[np.ndarray, Links]:
+        known: dict[int, np.ndarray] = {}
+        for k, t in zip(g.column("nid").to_pylist(), g.column("text"), strict=True):
+            if k not in known:
+                s = shingle_set(t.as_py(), words)
+                if len(s) and int.from_bytes(set_key(s)[:8], "little", signed=True) == k:  # else a row of the same id, but another text
+                    known[k] = s
+        nid = np.array(sorted(known), np.int64)
+        sets = [known[k] for k in nid.tolist()]
+        if not sets:
+            return nid, lambda p, rest: rest[:0]
+        sizes = np.array([len(s) for s in sets])
+        vocab, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        parts = np.split(dense, np.cumsum(sizes)[:-1])
+        mask = np.zeros(len(vocab), bool)
+
+        def links(p: int, rest: np.ndarray) -> np.ndarray:
+            close = rest[np.minimum(sizes[rest], sizes[p]) * 100 >= percent * np.maximum(sizes[rest], sizes[p])]
+            if not len(close):
+                return close
+            mask[parts[p]] = True
+            both = mask[np.concatenate([parts[q] for q in close])]
+            mask[parts[p]] = False
+            starts = np.r_[0, np.cumsum(sizes[close])[:-1]]
+            shared = np.add.reduceat(both, starts, dtype=np.int64)
+            return close[100 * shared >= percent * (sizes[close] + sizes[p] - shared)]
+
+        return nid, links
+
+    return load
+
+
+def forest(n: int, links: Links, first: int = 0) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest, and the members that ``first`` doesn't reach. Each reached member is compared with those
+    not yet reached."""
+    edges: list[tuple[int, int]] = []
+    rest, frontier = np.delete(np.arange(n), first), [first]
+    strays = None
+    while len(rest):
+        if not frontier:
+            strays = rest if strays is None else strays
+            frontier, rest = [int(rest[0])], rest[1:]
+        p = frontier.pop()
+        hit = links(p, rest)
+        edges += ((p, int(q)) for q in hit)
+        frontier += hit.tolist()
+        rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return edges, np.arange(0) if strays is None else strays
+
+
+def links_of(asks: np.ndarray, links: Links) -> list[tuple[int, int]]:
+    """Edges that join all members which a link of an asking one joins: these are compared with all, others with them."""
+    edges: list[tuple[int, int]] = []
+    fresh = np.ones(len(asks), bool)
+    for root in np.flatnonzero(asks).tolist():
+        frontier = [root] if fresh[root] else []
+        fresh[root] = False
+        while frontier:
             p = frontier.pop()
-            hit = links(p, rest)
-            if len(hit):
-                yield from ((p, int(q)) for q in hit)
-                frontier += hit.tolist()
-                rest = np.setdiff1d(rest, hit, assume_unique=True)
+            hit = links(p, np.flatnonzero(fresh if asks[p] else fresh & asks))
+            edges += ((p, int(q)) for q in hit)
+            frontier += hit.tolist()
+            fresh[hit] = False
+    return edges
+
 
+_FOUND = "g long, a long, b long"
 
-def confirmed_trees(words: int, percent: int):
-    """Cells (g, c, d, nid, text) to edges (a, b) of links that hold on the full sets."""
+
+def _cells(keys: int, solve: Callable[[pa.Table], tuple[list[int], list[int | None]]]):
+    """A task that gives (g, a, b) for each cell: an edge, or a stray ``a`` where b is null."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for g in grouped(batches, 3):
-            nid, sets, seen = [], [], set()
-            for k, t in zip(g.column("nid").to_pylist(), g.column("text"), strict=True):
-                s = shingle_set(t.as_py(), words)
-                if k in seen or not len(s) or int.from_bytes(set_key(s)[:8], "little", signed=True) != k:
-                    continue  # a row of the same id, but another text
-                seen.add(k)
-                nid.append(k)
-                sets.append(s)
-            if len(sets) < 2:
-                continue
-            sizes = np.array([len(s) for s in sets])
-            vocab, dense = np.unique(np.concatenate(sets), return_inverse=True)
-            ends = np.cumsum(sizes)
-            parts = np.split(dense, ends[:-1])
-            mask = np.zeros(len(vocab), bool)
-
-            def links(p: int, rest: np.ndarray, sizes=sizes, parts=parts, mask=mask) -> np.ndarray:
-                close = rest[np.minimum(sizes[rest], sizes[p]) * 100 >= percent * np.maximum(sizes[rest], sizes[p])]
-                if not len(close):
-                    return close
-                mask[parts[p]] = True
-                both = mask[np.concatenate([parts[q] for q in close])]
-                mask[parts[p]] = False
-                starts = np.r_[0, np.cumsum(sizes[close])[:-1]]
-                shared = np.add.reduceat(both, starts, dtype=np.int64)
-                return close[100 * shared >= percent * (sizes[close] + sizes[p] - shared)]
-
-            for p, q in _spanning(len(nid), links):
-                a.append(nid[p])
-                b.append(nid[q])
-            if len(a) >= 50_000:
-                yield _edges(a, b)
-                a, b = [], []
-        if a:
-            yield _edges(a, b)
+        rows: list[list] = [[], [], []]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["g", "a", "b"])
+
+        for g in grouped(batches, keys):
+            a, b = solve(g)
+            for x, more in zip(rows, ([g.column(0)[0].as_py()] * len(a), a, b), strict=True):
+                x += more
+            if len(rows[0]) >= 50_000:
+                yield out()
+                rows = [[], [], []]
+        if rows[0]:
+            yield out()
 
     return task
 
 
+def linked(small: DataFrame, big: DataFrame | None, load: Load, cell: int, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) whose components are those of all links within groups, and tables to release after use.
+
+    ``small`` and ``big``: (g, chunks, hub, nid, …), of which ``load`` reads the rest: groups of one chunk, and written
+    ones of more (or None), of about ``cell`` members a chunk. A group of one chunk is one cell. A larger one
+    is dealt into chunks, and its hub goes to each; what is joined with the hub there is joined with all the others that
+    are. Only strays, which aren't, meet the members of all chunks. Rows grow with a group's members, and beyond that
+    with its strays times its chunks.
+    """
+
+    def first(g: pa.Table) -> tuple[list[int], list[int | None]]:
+        nid, links = load(g)
+        if not len(nid):
+            return [], []
+        hub, several = g.column("hub")[0].as_py(), g.column("chunks")[0].as_py() > 1
+        at = np.flatnonzero(nid == hub)
+        edges, strays = forest(len(nid), links, int(at[0]) if len(at) else 0)
+        if several and not len(at):
+            strays = np.arange(len(nid))
+        lone = nid[strays].tolist() if several else []
+        return [int(nid[p]) for p, _ in edges] + lone, [int(nid[q]) for _, q in edges] + [None] * len(lone)
+
+    def second(g: pa.Table) -> tuple[list[int], list[int | None]]:
+        nid, links = load(g)
+        asking = g.filter(g.column("asks")).column("nid").to_numpy()
+        edges = links_of(np.isin(nid, asking), links)
+        return [int(nid[p]) for p, _ in edges], [int(nid[q]) for _, q in edges]
+
+    rest = [c for c in small.columns if c not in ("g", "chunks", "hub")]
+    own = F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int")
+    chunks = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    cells = small.select("g", F.lit(0).alias("c"), "chunks", "hub", *rest)
+    if big is not None:
+        places = F.when(F.col("nid") == F.col("hub"), chunks("chunks")).otherwise(F.array(own))
+        cells = cells.unionByName(big.select("g", F.explode(places).alias("c"), "chunks", "hub", *rest))
+    cells = cells.repartition("g", "c").sortWithinPartitions("g", "c", "nid")
+    found = cut(cells.mapInArrow(_cells(2, first), _FOUND), f"{name}-cells")
+    edges = found.filter("b is not null").select("a", "b")
+    strays = found.filter("b is null").select("g", F.col("a").alias("nid"))
+    if big is None or strays.isEmpty():
+        return edges, [found]
+    sets = cut(strays.groupBy("g").agg(F.ceil(F.count("*") / cell).alias("sets")), f"{name}-strays")
+    met = big.join(sets, "g")
+    asking = met.join(strays.distinct(), ["g", "nid"])
+    asking = asking.select("g", F.pmod(F.xxhash64("nid"), F.col("sets")).cast("int").alias("s"), F.explode(chunks("chunks")).alias("c"), F.lit(True).alias("asks"), *rest)
+    others = met.select("g", F.explode(chunks("sets")).alias("s"), own.alias("c"), F.lit(False).alias("asks"), *rest)
+    cells = asking.unionByName(others).repartition("g", "s", "c").sortWithinPartitions("g", "s", "c", "nid")
+    return edges.unionByName(cells.mapInArrow(_cells(3, second), _FOUND).select("a", "b")), [found, sets]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept): per row the smallest key that it is linked with."""
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
@@ -218,32 +291,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     filled = F.filter(at, lambda i: piece(i) != F.lit(b"\0" * width))
     keys = F.transform(filled, lambda i: F.xxhash64(i, piece(i)))
     bands = classes.select("nid", F.explode(keys).alias("k"))
-    buckets = bands.groupBy("k").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.min("nid").alias("m")).filter("size > 1")
-    once = buckets.groupBy("size", "x", "m").agg(F.min("k").alias("k")).select("k", "size")
-    members = bands.join(once, "k").join(classes.select("nid", "n", "regs"), "nid")
-    cells = into_cells(members.withColumn("chunks", F.ceil(F.col("size") / CELL)).drop("size"), "k", "nid", "chunks")
-    cells = cells.select("k", "c", "d", "nid", "n", "regs").repartition("k", "c", "d").sortWithinPartitions("k", "c", "d", "nid")
-    loose = components(cells.mapInArrow(loose_stars(percent), "a long, b long"), "near-loose")
+    buckets = bands.groupBy("k").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.min("nid").alias("hub")).filter("size > 1")
+    once = buckets.groupBy("size", "x", "hub").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("size") / BUCKET).alias("chunks"), "hub")
+    met = cut(bands.join(once, "k").select(F.col("k").alias("g"), "chunks", "hub", "nid"), "near-buckets")
+    members = lambda which: met.filter(which).join(classes.select("nid", "n", "regs"), "nid")
+    big = None if met.filter("chunks > 1").isEmpty() else cut(members("chunks > 1"), "near-big")
+    edges, used = linked(members("chunks = 1"), big, by_estimate(percent), BUCKET, "near-loose")
+    loose = components(edges, "near-loose")
+    release(met, *([] if big is None else [big]), *used)
 
     # candidate groups with their texts
     rows = loose.select(F.col("node").alias("nid"), F.col("label").alias("g")).join(classes.select("nid", "rep", "n"), "nid")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    sizes = sizes.filter("size > 1").select("g", F.ceil(F.greatest(F.col("size") / CELL, F.col("total") / CELL_SHINGLES)).alias("chunks"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("nid").alias("hub")).filter("size > 1")
+    sizes = sizes.select("g", F.ceil(F.greatest(F.col("size") / CELL, F.col("total") / CELL_SHINGLES)).alias("chunks"), "hub")
     sizes = cut(sizes, "near-sizes")  # a join of two plain shuffles can be split where one group is very large
-    wanted = rows.join(sizes, "g").select("g", "chunks", "nid", F.col("rep").alias("_id"))
-    texts = own.join(wanted, "_id").select("g", "chunks", "nid", F.col("_text").alias("text"))
-    cells = into_cells(texts, "g", "nid", "chunks").repartition("g", "c", "d").sortWithinPartitions("g", "c", "d", "nid")
-    linked = components(cells.mapInArrow(confirmed_trees(words, percent), "a long, b long"), "near-linked")
+    wanted = rows.join(sizes, "g").select("g", "chunks", "hub", "nid", F.col("rep").alias("_id"))
+    texts = lambda which: own.join(wanted.filter(which), "_id").select("g", "chunks", "hub", "nid", F.col("_text").alias("text"))
+    big = None if sizes.filter("chunks > 1").isEmpty() else cut(texts("chunks > 1"), "near-big")
+    edges, used = linked(texts("chunks = 1"), big, by_sets(words, percent), CELL, "near-linked")
+    joined = components(edges, "near-linked")
+    release(*([] if big is None else [big]), *used)
 
     release(loose, sizes)
-    ends = classes.select("nid", "rep").join(linked.select(F.col("node").alias("nid"), "label"), "nid", "left")
+    ends = classes.select("nid", "rep").join(joined.select(F.col("node").alias("nid"), "label"), "nid", "left")
     ends = ends.select("nid", "rep", F.coalesce("label", "nid").alias("label"))
     least = cut(ends.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
     of_class = ends.join(least, "label").select("nid", "component_id")
     out = sig.select("_id", "n_shingles", "nid").join(of_class, "nid", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     out = cut(out.select("_id", "n_shingles", component.alias("component_id")), "near-result")
-    release(sig, classes, linked, least)
+    release(sig, classes, joined, least)
     same = F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("_id").alias(key), "n_shingles", "component_id", same.alias("kept"))
 

@@ -120,12 +120,50 @@ def variants(spark):
 @pytest.mark.parametrize("words,percent,cell", [(2, 80, 1024), (2, 80, 5), (5, 80, 1024), (1, 60, 1024)])
 def test_near_duplicates(spark, monkeypatch, words, percent, cell):
     monkeypatch.setattr(near_dup, "CELL", cell)
+    monkeypatch.setattr(near_dup, "BUCKET", cell)
     rows = variants(spark)
     got = sorted(tuple(x) for x in near_dup.near_duplicates(frame(spark, rows), words=words, percent=percent).collect())
     want = sorted((k, n, c, k == c) for (k, _), (n, c) in zip(rows, near(rows, words, percent), strict=True))
     assert got == want
 
 
+def test_large_groups(spark, monkeypatch):
+    """Chunks of five: near copies of one text, chains whose ends are unlike, and strays that link two chunks."""
+    monkeypatch.setattr(near_dup, "CELL", 5)
+    monkeypatch.setattr(near_dup, "BUCKET", 5)
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"e{i}" if j == r.randrange(60) else w for j, w in enumerate(base))) for i in range(60)]
+    chain = [f"c{i}" for i in range(70)]
+    rows += [(100 + i, " ".join([f"d{j}" for j in range(3 * i)] + chain[3 * i :])) for i in range(22)]
+    r.shuffle(rows)
+    got = sorted(tuple(x) for x in near_dup.near_duplicates(frame(spark, rows), words=1, percent=80).collect())
+    want = sorted((k, n, c, k == c) for (k, _), (n, c) in zip(rows, near(rows, 1, 80), strict=True))
+    assert got == want and len({x[2] for x in got}) == 2
+
+
+def test_links_of_asking_members():
+    """Whatever order they are met in, all members that an asking one is linked with end in its component."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 12))
+        link = np.triu(r.random((n, n)) < 0.25, 1)
+        link |= link.T
+        asks = r.random(n) < 0.4
+        links = lambda p, rest, link=link: rest[link[p, rest]]
+        want = link & (asks[:, None] | asks[None, :])
+        for edges, of in ((near_dup.links_of(asks, links), want), (near_dup.forest(n, links)[0], link)):
+            labels = [np.arange(n), np.arange(n)]
+            for label, pairs in zip(labels, (edges, np.argwhere(of).tolist()), strict=True):
+                for _ in range(n):
+                    for a, b in pairs:
+                        label[a] = label[b] = min(label[a], label[b])
+            if of is link or not len(np.argwhere(want)):
+                assert labels[0].tolist() == labels[1].tolist()
+            for a, b in np.argwhere(want).tolist():
+                assert labels[0][a] == labels[0][b]
+
+
 def test_near_duplicates_null_id_and_empty(spark):
     got = near_dup.near_duplicates(frame(spark, [(None, "a b c"), (5, "a b c"), (3, "a b c")]), words=2).collect()
     assert sorted((x["doc_id"] or 0, x["component_id"], x["kept"]) for x in got) == [(0, None, True), (3, 3, True), (5, 3, False)]
