@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as Parquet
 and read again for the next. All but the last return the columns of ``documents``, with ``n_chars`` of the text as it is.
+
+Every stage takes null, empty and very long texts, missing and repeated ids, repeated rows, empty tables, and further
+columns of any name, which pass through all stages but packing.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, among them null and empty texts, which have no words. Rows are judged one by one:
+    repeated rows stay or go together, ids don't matter."""
     return keep_documents(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8."""
+    """One document of each group of near copies stays: five words, similarity 0.8. It is the row of the smallest id; of
+    rows that share it, or of rows without an id where no other has one, any single one. Texts without words stay."""
     return keep_one(docs)
 
 
@@ -40,12 +45,13 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, overlapping ones by one; null texts stay null, and no row goes."""
     return _measured(redact(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 4096 tokens."""
+    """Pieces of the remaining texts in sequences of 4096 tokens; a null or empty text is its end mark, repeated rows and
+    ids are packed one by one."""
     return pack(docs)
 
 

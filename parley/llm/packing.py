@@ -1,9 +1,10 @@
-"""Best-fit packing (operator 7): bounded-space online best-fit.
+"""Best-fit packing (operator 7): bounded-space best-fit with look-ahead.
 
-A task encodes its documents with the tokenizers library (each distinct word once, behind a bounded cache), cuts only what is longer than a sequence, and places each piece in the open bin that it
-fills best. Open bins are at most ``OPEN_BINS``; a bitset over free space (one big integer) finds the best fit in a
-shift; when a new bin is needed and all are open, the fullest closes. Pieces wait in a window of ``WINDOW`` and leave
-it longest first, so that long pieces open bins and short ones fill them.
+A task encodes its documents with the tokenizers library (each distinct word once, behind a bounded cache), cuts only what
+is longer than a sequence, and places each piece in the open bin that it fills best. Open bins are at most ``OPEN_BINS``; a
+bitset over free space (one big integer) finds the best fit in a shift; when a new bin is needed and all are open, the
+fullest closes. Pieces wait in a window of ``WINDOW`` and leave it longest first, so that long pieces open bins and short
+ones fill them: within a window this is best-fit decreasing, over windows it is online.
 
 No shuffle: a task packs what it reads, so the ends of tasks cost at most their last open bins. Memory is one batch,
 the window and the open bins. Sequence ids are the task's number and a counter, the same when a task runs again.

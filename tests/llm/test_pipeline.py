@@ -100,6 +100,33 @@ def test_each_passage_stays_once(spark):
     assert len(left) == len(set(left)) and set(left) == set(" ".join(texts).split())
 
 
+def test_awkward_rows_pass_every_stage(spark):
+    """Nulls in every column, repeated rows and ids, one very long text, and columns of names that the stages use."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["the", "of", "and"]) if i % 2 else f"w{r.randrange(10**6)}" for i in range(n))
+    long, secret = say(30_000), f"{say(60)} token=abcdefgh12 {say(10)}"
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, long, "en", "s", 9), (2, long, "en", "s", 9), (None, secret, None, "s", None), (3, secret, "de", "s", 5), (4, "short", None, None, 1)]
+    more = "_row long, _repeat_row string, _Secret_Tkey long, _secret_spans int, _id string, _text string, n int"
+    docs = spark.createDataFrame([(*x, 1, "a", 2, 3, "b", "c", 4) for x in rows], f"{COLUMNS}, {more}")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        counts.append(docs.count())
+    assert counts == [4, 2, 2, 2]
+    got = {x["doc_id"]: x for x in docs.collect()}
+    assert set(got) == {2, 3} and got[2]["text"] == long and got[3]["text"] == secret.replace("token=abcdefgh12", "[SECRET]")
+    assert got[3]["n_chars"] == len(got[3]["text"]) and (got[3]["_row"], got[3]["_text"], got[3]["lang"]) == (1, "c", "de")
+    # each stage by itself, on rows that an earlier one would have taken out
+    docs = spark.createDataFrame([(*x, 1, "a", 2, 3, "b", "c", 4) for x in rows], f"{COLUMNS}, {more}")
+    stages = dict(corpus_pipeline.STAGES)
+    assert [stages[n](spark, docs, "").count() for n in ("near_dedup", "substring_dedup", "secret_scan")] == [5, 7, 7]
+    kept = stages["substring_dedup"](spark, docs, "").collect()
+    assert sorted(len(x["text"] or "") for x in kept) == sorted([0, 0, len(long), 0, 0, len(secret), 5])
+    assert stages["packing"](spark, docs, "").select("doc_id").distinct().count() == 5
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
