@@ -185,8 +185,8 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_frame(files, NOW)
 
 
-def _ingested(table: str, *columns: str | Column):
-    return lambda s, d: ingest(_captures(s, d), F.lit(NOW))[table].select(*(columns or TABLES[table].fieldNames()))
+def _ingested(table: str, *columns: str):
+    return lambda s, d: ingest(_captures(s, d), F.lit(NOW))[table].selectExpr(*(columns or TABLES[table].fieldNames()))
 
 
 def _id(prefix: str, *parts: str) -> str:
@@ -209,7 +209,7 @@ query(
 )(
     _ingested(
         "raw_artifacts", "artifact_id", "conversation_id", "source_url", "artifact_kind", "file_path", "media_type",
-        *[F.expr(f"CASE WHEN artifact_kind = 'source_snapshot' THEN {c} END").alias(c) for c in ("sha256", "byte_size")], "captured_at",
+        *[f"CASE WHEN artifact_kind = 'source_snapshot' THEN {c} END AS {c}" for c in ("sha256", "byte_size")], "captured_at",
     )
 )
 query(
