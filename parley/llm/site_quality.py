@@ -11,7 +11,7 @@ Texts are read once and don't move; only (row, host, path, evidence) does. The s
 and a host with a third of all rows is one row in its join with the evidence, which Spark may split by skew.
 
 Defined results: a null or empty text has the evidence of no words; null hosts or paths are sites of their own;
-without labels of both kinds the evidence is 0 for all and the score one half; repeated rows are scored one by one; an
+without labels of both kinds all weights are 0 and all evidence and scores one half, which is kept; repeated rows are scored one by one; an
 empty table gives an empty table; other columns are not read.
 """
 
@@ -73,15 +73,18 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.02) -> l
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[float]:
-    """Weights from at most ``sample`` labelled rows; their features come to the driver, not their texts. Rows whose
-    crc32(doc_id as text) mod 4 is 2 are never learned from."""
+    """Weights from at most ``sample`` labelled ids, one text each (of smallest features); the features come to the driver,
+    not the texts. Ids whose crc32(doc_id as text) mod 4 is 2, or whose labels contradict each other, are never learned
+    from."""
     known = labels.select(F.col(key).alias("_key"), F.col("quality").cast("double").alias("_y"))
     known = known.filter(F.col("_key").isNotNull() & F.col("_y").isin(0.0, 1.0) & (F.crc32(F.col("_key").cast("string").cast("binary")) % 4 != 2))
-    known = known.dropDuplicates(["_key"]).orderBy(F.xxhash64("_key"), "_key").limit(sample)
+    known = known.groupBy("_key").agg(F.min("_y").alias("_y"), F.max("_y").alias("most")).filter("_y = most").drop("most")
+    known = known.orderBy(F.xxhash64("_key"), "_key").limit(sample)
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = own.join(F.broadcast(known), "_key").select("_key", evidence_features(F.col("_text")).alias("x"), "_y").collect()  # at most ``sample`` keys
-    rows.sort(key=lambda r: (r["_key"], r["x"]))
-    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["_y"] for r in rows]))
+    rows = own.join(F.broadcast(known), "_key").select("_key", evidence_features(F.col("_text")).alias("x"), "_y")
+    rows = rows.groupBy("_key").agg(F.min("x").alias("x"), F.first("_y").alias("y")).collect()  # a row a key: at most ``sample``
+    rows.sort(key=lambda r: r["_key"])
+    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows]))
 
 
 def _logit(p: Column) -> Column:

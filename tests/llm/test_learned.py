@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,76 @@ def test_toxicity_held_out(spark):
     assert again.shift == model.shift and (again.out == model.out).all()  # held-out labels change nothing
 
 
+def plain_pooled(model, at):
+    """Convolution and pooling with loops."""
+    out, k, n = [], 0, len(at) - max(toxicity.WIDTHS) + 1
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(model.tables[k + j][at[i + j], f]) for j in range(w)) for i in range(n))
+            out.append(max(best + float(model.bias[len(out)]), 0.0))
+        k += w
+    return out
+
+
+def small_params(r, words=6):
+    filters = [r.normal(size=(toxicity.EMBED, toxicity.FILTERS)) for w in toxicity.WIDTHS for _ in range(w)]
+    emb = r.normal(size=(words, toxicity.EMBED))
+    emb[0] = 0
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    return toxicity.Params(emb, filters, r.normal(size=n), r.normal(size=n), 0.3)
+
+
+def test_pooling_against_loops(monkeypatch):
+    r = np.random.default_rng(1)
+    for size in (3, 1 << 16):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        for n in (0, 1, 2, 3, 4, 17):
+            p = small_params(r)
+            model = toxicity.Model({}, [p.emb @ f for f in p.filters], p.bias, p.out, p.out_bias)
+            at = toxicity.padded(r.integers(0, 6, n).tolist())
+            assert np.allclose(model.pooled(at), plain_pooled(model, at))
+
+
+def test_gradient_against_differences():
+    r = np.random.default_rng(2)
+
+    def loss(p, at, y):
+        model = toxicity.Model({}, [p.emb @ f for f in p.filters], p.bias, p.out, p.out_bias)
+        z = sum(a * b for a, b in zip(plain_pooled(model, at), p.out, strict=True)) + p.out_bias
+        return float(np.log1p(np.exp(z)) - y * z)
+
+    for y in (0, 1):
+        p, at = small_params(r), toxicity.padded(r.integers(0, 6, 7).tolist())
+        of_filters, of_bias, of_out, of_out_bias, of_emb = toxicity.example_gradient(p, at, y)
+        pairs = [*zip(p.filters, of_filters, strict=True), (p.bias, of_bias), (p.out, of_out), *((p.emb[k : k + 1], g[None, :]) for k, g in of_emb.items())]
+        for array, grad in pairs:
+            for _ in range(6):
+                i = tuple(int(r.integers(0, s)) for s in array.shape)
+                keep = array[i]
+                array[i] = keep + 1e-6
+                up = loss(p, at, y)
+                array[i] = keep - 1e-6
+                down = loss(p, at, y)
+                array[i] = keep
+                assert abs((up - down) / 2e-6 - grad[i]) < 1e-5
+        p.out_bias += 1e-6
+        up = loss(p, at, y)
+        p.out_bias -= 2e-6
+        assert abs((up - loss(p, at, y)) / 2e-6 - of_out_bias) < 1e-5
+
+
+def test_toxicity_sample(spark):
+    """Contradicting labels and repeated ids change nothing from run to run, in whatever order rows come."""
+    rows = [(i, f"fine words number {i}" if i % 3 else f"you vile creature {i}") for i in range(120)] + [(7, "you vile text of seven"), (7, None), (8, "x " * 6000)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(120)] + [(9, 1, 0), (10, 0, 1), (10, 0, 1)]
+    made = []
+    for turn in (1, -1):
+        docs = frame(spark, rows[::turn])
+        known = spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int").repartition(3)
+        made.append(toxicity.train(docs, known))
+    assert made[0].shift == made[1].shift and made[0].rows == made[1].rows and (made[0].out == made[1].out).all()
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(k, t, "en", None, 0.5, True) for k, t in rows], "doc_id long, text string, lang string, source string, score double, held_out boolean")
 
@@ -56,6 +127,72 @@ def test_site_quality_edges(spark):
     assert site_quality.site_quality(docs.limit(0), zero, "doc_id", "text", F.col("source"), F.col("lang")).count() == 0
 
 
+STOP = {"the", "a", "of"}
+
+
+def plain_features(text):
+    import re
+
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, m = max(len(words), 1), max(len(lines), 1)
+    cap = lambda x: min(x / n, 1.0)
+    return [
+        cap(sum(c in "#*$%&|<>" for c in t)), cap(t.count("!")), cap(len(re.findall("[A-ZÉ]{2}", t))), cap(sum(w in STOP for w in words)), min(len(t) / n, 40.0) / 10,
+        1 - len(set(words)) / n, 1 - len(set(lines)) / m, np.log1p(len(words)) / 10,
+    ]
+
+
+def plain_sites(rows, weights):
+    """{row: (evidence, host posterior, path posterior, score)} of (host, path, text) rows, with loops."""
+    ev = [1 / (1 + np.exp(-(sum(a * b for a, b in zip(plain_features(t), weights, strict=False)) + weights[-1]))) for _, _, t in rows]
+    mean = sum(ev) / len(ev)
+
+    def groups(key):
+        out = {}
+        for r, e in zip(rows, ev, strict=True):
+            out.setdefault(key(r), []).append(e)
+        return out
+
+    by_host, by_path = groups(lambda r: r[0]), groups(lambda r: r[:2])
+    means = [sum(v) / len(v) for v in by_host.values()]
+    between = sum((x - sum(means) / len(means)) ** 2 for x in means) / len(means)
+    inner = sum((sum(v) / len(v) - sum(by_host[k[0]]) / len(by_host[k[0]])) ** 2 for k, v in by_path.items()) / len(by_path)
+    weight = lambda v: min(max(mean * (1 - mean) / v - 1, 2.0), 1000.0) if v > 0 else 1000.0
+    a, b = weight(between), weight(inner)
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for (h, p, _), e in zip(rows, ev, strict=True):
+        hs, ps = by_host[h], by_path[h, p]
+        host = (sum(hs) - e + a * mean) / (len(hs) - 1 + a)
+        path = (sum(ps) - e + b * host) / (len(ps) - 1 + b)
+        out.append((e, host, path, 1 / (1 + np.exp(-(logit(e) + 0.5 * (logit(path) - logit(mean)))))))
+    return out
+
+
+def test_site_quality_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(site_quality, "STOP_WORDS", sorted(STOP))
+    r = np.random.default_rng(3)
+    say = lambda: " ".join(r.choice(["the", "a", "of", "Word", "##", "ÉTÉ", "x!", "line\nline", "\n", "rare", "%1"], r.integers(0, 30)))
+    rows = [("big", f"p{r.integers(0, 3)}", say()) for _ in range(60)] + [(f"h{i % 7}", f"p{i % 2}", say()) for i in range(20)] + [("", "", ""), ("one", "", "the end")]
+    rows += [rows[5]] * 3
+    for weights in ([-3.0, 1.0, 0.5, 2.0, 0.3, -1.0, 0.2, 0.7, 0.1], [0.0] * 9):
+        docs = spark.createDataFrame([(i, h or None, p or None, t or None, 0.1, 5) for i, (h, p, t) in enumerate(rows)], "doc_id long, source string, lang string, text string, x double, n int")
+        got = {g["doc_id"]: g for g in site_quality.site_quality(docs, weights, "doc_id", "text", F.col("source"), F.col("lang")).collect()}
+        for i, want in enumerate(plain_sites(rows, weights)):
+            assert np.allclose([got[i][c] for c in ("evidence", "host_posterior", "path_posterior", "score")], want)
+            assert got[i]["kept"] == (got[i]["score"] >= 0.5) and (any(weights) or got[i]["kept"])  # a tie is kept
+
+
+def test_site_quality_sample(spark):
+    docs = frame(spark, [(i, "good words of the town " * 9 if i % 2 else "## $$ !! ZZ " * 9) for i in range(60)] + [(3, "## other"), (3, None)])
+    labels = [(i, i % 2, 0) for i in range(60)] + [(5, 0, 0), (6, 0, 0), (7, None, 0), (None, 1, 0)]
+    made = [site_quality.train(docs.orderBy(F.desc("doc_id")) if turn < 0 else docs, spark.createDataFrame(labels[::turn], "doc_id long, quality int, toxic int")) for turn in (1, -1)]
+    assert np.allclose(made[0], made[1]) and any(made[0])
+    assert site_quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == [0.0] * 9
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     """With the same evidence everywhere but for the site, large sites move a score more than small ones."""
     bad, good = "## $$ !! " * 20, "the of and to in is that it for was " * 4
