@@ -344,7 +344,7 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: i
         task, schema = contexts(length, kind, unit)
         return texts.mapInArrow(task, schema)
 
-    many = length * SPLIT  # kinds of an anchor beyond which a part is one offset
+    many = (length - 1) * SPLIT  # kinds of an anchor beyond which a part is one offset
     groups = met(wanted.filter(F.col("n") <= many)).repartition("fp", "part", "core").sortWithinPartitions("fp", "part", "core", "id", "q")
     task, schema = repeated_windows(length, unit, first)
     found = groups.mapInArrow(task, schema)

@@ -79,6 +79,19 @@ def test_first_repeats_stay(spark, monkeypatch, split, hot, words):
     assert [got[i] for i in range(len(rows))] == first_kept(rows, 100, words or 10**9)
 
 
+@pytest.mark.parametrize("copies", [18, 19, 20, 21])
+def test_as_many_kinds_as_offsets(spark, monkeypatch, copies):
+    """An anchor's kinds around the number from which its parts are single offsets."""
+    monkeypatch.setattr(substring_dedup, "SPLIT", 1)
+    number = iter(range(10**6))
+    own = lambda n: " ".join(f"w{next(number)}" for _ in range(n))
+    shared = own(45)
+    rows = [(i, f"{own(7)} {shared} {own(7)}") for i in range(copies)]
+    out = substring_dedup.remove_repeats(frame(spark, rows), length=None, words=20)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [got[i] for i in range(copies)] == first_kept(rows, 10**9, 20)
+
+
 def test_runs_in_segments(monkeypatch):
     """A text longer than a segment gives windows that cover each start once."""
     monkeypatch.setattr(substring_dedup, "SEGMENT", 300)
