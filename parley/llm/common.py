@@ -146,3 +146,22 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n")
         return rows.join(keys, on)
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.filter(F.col(n) <= limit), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
+#: Bits of ``sieved``.
+SIEVE = 1 << 25
+
+
+def sieved(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those that have no partner in ``keys`` by the columns ``on``, whose types are the same there.
+
+    For joins that would move every row, to find few. A bit is set for the hash of each key; the bits, at most SIEVE / 64
+    rows, are broadcast. Rows that share a bit with a key stay, so the join has still to be made.
+    """
+    word, bits, slot = (spare(rows, x) for x in ("_word", "_bits", "_slot"))
+    at = F.pmod(F.xxhash64(*on), F.lit(SIEVE))
+    mark = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)).cast("int"))
+    set_ = keys.select(at.alias(slot)).select(F.shiftright(slot, 6).alias(word), mark(F.col(slot)).alias(bits))
+    set_ = set_.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    met = rows.withColumn(slot, at).withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(set_), word)
+    return met.filter(F.col(bits).bitwiseAND(mark(F.col(slot))) != 0).select(*rows.columns)

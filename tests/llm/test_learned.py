@@ -109,6 +109,66 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """Words that only some of very many labelled texts hold, or very long ones, are learned."""
+    ids = spark.range(6400).filter(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    rows = [(k, "you vile one" if i < 3000 else "you wretched one") for i, k in enumerate(ids[:4000])]
+    rows += [(k, "fine words here") for k in ids[4000:4100]] + [(k, "fine " * 10_001 + "endless") for k in ids[4100:4110]]
+    labels = spark.createDataFrame([(k, 1, int(i < 4000)) for i, k in enumerate(ids[:4110])], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    assert {toxicity.bucket_of(w) for w in ("vile", "wretched", "endless")} <= set(model.rows)
+    asked = frame(spark, [(1, "you vile one"), (2, "you wretched one"), (3, "fine words here"), (4, "fine " * 10_001 + "endless")])
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(asked, model).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_word_counts_and_shards_against_loops(spark):
+    """Counts over all rows of labelled ids, and the mean of what two shards learn."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(list("abcdefgh"), int(r.integers(0, 12)))) for _ in range(60)]
+    rows = [(i % 50, t) for i, t in enumerate(texts)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(45)], "_key int, _y int")  # keys of another width
+    found = toxicity.labelled(frame(spark, rows), known, "doc_id", "text", "lang").cache()
+    buckets, counts = toxicity.word_counts(found)
+    plain = {}
+    for k, t in rows:
+        for w in set(t.split()) if k < 45 else ():
+            plain.setdefault(toxicity.bucket_of(w), [0, 0])[k % 2] += 1
+    plain = {b: c for b, c in plain.items() if sum(c) >= toxicity.LEAST_DOCS}
+    assert dict(zip(buckets.tolist(), counts.T.tolist(), strict=True)) == plain
+
+    lut = np.zeros(toxicity.BUCKETS, np.int32)
+    lut[buckets] = np.arange(1, len(buckets) + 1)
+    odds = np.r_[0.0, r.normal(size=len(buckets))]
+    start = toxicity.start_params(odds)
+    assert all(np.array_equal(a, b) for a, b in zip(vars(toxicity.unpacked(toxicity.packed(start), len(start.emb))).values(), vars(start).values(), strict=True))
+    got = toxicity.packed(toxicity.mixed(found, odds, lut, 2))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(2))).orderBy("shard", "h", "y", "ids").toPandas()
+    parts = []
+    for shard, g in dealt.groupby("shard"):
+        docs = [toxicity.padded(lut[np.frombuffer(x, np.int32)]) for x in g["ids"]]
+        parts.append(toxicity.packed(toxicity.learn(start, docs, g["y"].to_numpy(float), int(shard))))
+    assert len(parts) == 2 and np.allclose(got, np.mean(parts, axis=0), atol=1e-6)
+
+
+def test_best_threshold():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(r.integers(2, 30))
+        s, y, w = np.round(r.random(n), 2), (r.random(n) < 0.4).astype(float), r.integers(1, 5, n).astype(float)
+        f1 = lambda t: 2 * (w * y * (s >= t)).sum() / max((w * (s >= t)).sum() + (w * y).sum(), 1e-12)
+        assert f1(toxicity._best_threshold(s, y, w)) == pytest.approx(max(f1(t) for t in s))
+
+
+def test_gradient_in_slices(monkeypatch):
+    r = np.random.default_rng(5)
+    p, at = small_params(r), toxicity.padded(r.integers(0, 6, 23).tolist())
+    whole = toxicity.example_gradient(p, at, 1)
+    monkeypatch.setattr(toxicity, "SLICE", 4)
+    parts = toxicity.example_gradient(p, at, 1)
+    assert all(np.allclose(a, b) for a, b in zip(whole[0], parts[0], strict=True)) and np.allclose(whole[1], parts[1]) and whole[4].keys() == parts[4].keys()
+
+
 @needs_data
 def test_site_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
