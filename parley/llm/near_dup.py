@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, release, sliced, spare
+from .common import cut, read, release, sieved, sliced, spare
 from .graph import components
 from .shingles import REGISTERS, estimate, expected_collisions, registers, set_key, shingle_set
 
@@ -293,8 +293,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     bands = classes.select("nid", F.explode(keys).alias("k"))
     buckets = bands.groupBy("k").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.min("nid").alias("hub")).filter("size > 1")
     once = buckets.groupBy("size", "x", "hub").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("size") / BUCKET).alias("chunks"), "hub")
-    met = cut(bands.join(once, "k").select(F.col("k").alias("g"), "chunks", "hub", "nid"), "near-buckets")
-    members = lambda which: met.filter(which).join(classes.select("nid", "n", "regs"), "nid")
+    once = cut(once, "near-once")
+    # of bands, registers and, below, texts, only those move that have a partner, as far as a sieve can tell
+    met = cut(sieved(bands, once, ["k"]).join(once, "k").select(F.col("k").alias("g"), "chunks", "hub", "nid"), "near-buckets")
+    release(once)
+    members = lambda which: met.filter(which).join(sieved(classes.select("nid", "n", "regs"), met.filter(which), ["nid"]), "nid")
     big = None if met.filter("chunks > 1").isEmpty() else cut(members("chunks > 1"), "near-big")
     edges, used = linked(members("chunks = 1"), big, by_estimate(percent), BUCKET, "near-loose")
     loose = components(edges, "near-loose")
@@ -305,14 +308,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("nid").alias("hub")).filter("size > 1")
     sizes = sizes.select("g", F.ceil(F.greatest(F.col("size") / CELL, F.col("total") / CELL_SHINGLES)).alias("chunks"), "hub")
     sizes = cut(sizes, "near-sizes")  # a join of two plain shuffles can be split where one group is very large
-    wanted = rows.join(sizes, "g").select("g", "chunks", "hub", "nid", F.col("rep").alias("_id"))
-    texts = lambda which: own.join(wanted.filter(which), "_id").select("g", "chunks", "hub", "nid", F.col("_text").alias("text"))
+    wanted = cut(rows.join(sizes, "g").select("g", "chunks", "hub", "nid", F.col("rep").alias("_id")), "near-wanted")
+    texts = lambda which: sieved(own, wanted.filter(which), ["_id"]).join(wanted.filter(which), "_id").select("g", "chunks", "hub", "nid", F.col("_text").alias("text"))
     big = None if sizes.filter("chunks > 1").isEmpty() else cut(texts("chunks > 1"), "near-big")
     edges, used = linked(texts("chunks = 1"), big, by_sets(words, percent), CELL, "near-linked")
     joined = components(edges, "near-linked")
     release(*([] if big is None else [big]), *used)
 
-    release(loose, sizes)
+    release(loose, sizes, wanted)
     ends = classes.select("nid", "rep").join(joined.select(F.col("node").alias("nid"), "label"), "nid", "left")
     ends = ends.select("nid", "rep", F.coalesce("label", "nid").alias("label"))
     least = cut(ends.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")

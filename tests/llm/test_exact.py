@@ -567,3 +567,31 @@ def test_components_of_edges_that_change_when_computed_again(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").mapInPandas(turned, "a long, b long")
     got = components(edges).collect()
     assert len(got) == 61 and {x["label"] for x in got} == {0}
+
+
+def test_sieve_keeps_every_partner(spark, monkeypatch):
+    keys = spark.range(0, 3000, 7).withColumnRenamed("id", "k")
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    for size in (1 << 6, 1 << 10, 1 << 25):
+        monkeypatch.setattr(common, "SIEVE", size)
+        left = common.sieved(rows, keys, ["k"])
+        assert left.columns == rows.columns and left.join(keys, "k").count() == keys.count() == 429
+    assert left.count() < 435
+    assert common.sieved(rows, keys.limit(0), ["k"]).count() == 0
+
+
+def test_near_dup_moves_only_texts_that_may_be_linked(spark, monkeypatch):
+    """Where no table is small enough to be broadcast, the join with texts has only candidates to move."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(300)] + [(i, f"a b c d e f g h i j k l m n o p q r s t {i % 2}") for i in range(300, 306)]
+    moved = []
+
+    def spy(out, on):
+        if "_text" in out.columns:
+            moved.append(out.count())
+        return out
+
+    plain = near_dup.sieved
+    monkeypatch.setattr(near_dup, "sieved", lambda r, k, on: spy(plain(r, k, on), on))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {i: min(i, 300) for i in range(306)}
+    assert moved and max(moved) <= 6
