@@ -19,20 +19,21 @@ Anchors and runs of very many rows are joined apart (``join_counted``), so that
 The same steps take words instead of bytes (``unit``): a word is the 8 bytes of its hash, and places and lengths count
 words. The pipeline removes both kinds, so that no number of bytes decides whether a passage of 51 words is found.
 
-``repeat_digest`` removes every copy of a repeated string. ``remove_repeats`` leaves the first, by key and then place, so
-that each passage stays once in the corpus: texts go by row there, each run kind is represented by its first row, and of
-equal windows all but the first count.
+``repeat_digest`` removes every copy of a repeated string; its column ``text`` is what a corpus needs besides: there, of
+passages of ``words`` words the first stays, by key and then place. ``remove_repeats`` leaves the first, too, so that each
+passage stays once in the corpus: texts go by row there, each run kind is represented by its first row, and of equal
+windows all but the first count. In ``repeat_digest``, where rows of one text go by its content, a text's first row has
+the windows that count, and its other rows lose all words.
 
 Defined results: a null text is empty; texts shorter than ``length`` have no spans, and copies of longer ones lose all
 bytes (``remove_repeats``: all but the first row; rows without a key come last, and rows of one key in the table's
-order); repeated rows count as copies; an empty table gives an empty table. ``repeat_digest`` reads the key and the text
-only; ``remove_repeats`` keeps all columns, whatever their names.
+order, as in ``text``); repeated rows count as copies; an empty table gives an empty table. ``repeat_digest`` reads the key
+and the text only; ``remove_repeats`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -54,20 +55,18 @@ GRAM = 32
 WORDS = 51
 WORD_GRAM = 8
 WORD_UNIT = 8
-CACHE = 200_000
 #: Windows of one segment; a longer text is read in segments, and places fit in PLACE_BITS.
 SEGMENT = 1 << 20
 PLACE_BITS = 21
 #: Runs of an anchor from which its offsets are dealt out in parts.
 SPLIT = 256
-BLOCK = 16
+BLOCK = 64
 #: Rows that share one suffix array.
 BATCH_ROWS = 4000
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
-_CODES: dict[bytes, bytes] = {}
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_IS_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +101,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(data: bytes, length: int, gram: int, unit: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
-    """(anchor's hash, hash of the run's bytes, anchor's place, first window, last window) of each run of windows."""
+def run_arrays(data: bytes, length: int, gram: int, unit: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays, a segment each: anchor's hash, hash of the run's bytes, anchor's place, first and last window of each run."""
     n = len(data) // unit
     for base in range(0, n - length + 1, SEGMENT):
         part = np.frombuffer(data, np.dtype(f"u{unit}"), min(SEGMENT + length - 1, n - base), base * unit)
@@ -111,13 +110,18 @@ def runs(data: bytes, length: int, gram: int, unit: int = 1) -> Iterator[tuple[i
         last = (1 << PLACE_BITS) - 1
         packed = (h & ~np.uint64(last)) | (np.uint64(last) - np.arange(len(h), dtype=np.uint64))
         m = sliding_min(packed, length - gram + 1)
-        starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+        ends = np.append(np.flatnonzero(m[1:] != m[:-1]), len(m) - 1)
+        starts = np.append(0, ends[:-1] + 1)
         q = (np.uint64(last) - (m[starts] & np.uint64(last))).astype(np.int64)
-        fp = h[q].astype(np.int64)
-        ends = np.r_[starts[1:], len(m)] - 1
-        for f, a, s, e in zip(fp.tolist(), q.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            own = xxhash.xxh3_64_intdigest(data[(base + s) * unit : (base + e + length) * unit], seed=a - s)
-            yield f, own - (1 << 63), base + a, base + s, base + e
+        places = zip(((base + starts) * unit).tolist(), ((base + ends + length) * unit).tolist(), (q - starts).tolist(), strict=True)
+        own = np.array([xxhash.xxh3_64_intdigest(data[a:z], k) for a, z, k in places], np.uint64)
+        yield h[q].astype(np.int64), (own ^ np.uint64(1 << 63)).view(np.int64), base + q, base + starts, base + ends
+
+
+def runs(data: bytes, length: int, gram: int, unit: int = 1) -> Iterator[tuple[int, int, int, int, int]]:
+    """The same, run by run."""
+    for x in run_arrays(data, length, gram, unit):
+        yield from zip(*(c.tolist() for c in x), strict=True)
 
 
 def _encode(text: str | None) -> bytes:
@@ -129,39 +133,29 @@ def coded(text: str | None, unit: int) -> bytes:
     data = _encode(text)
     if unit == 1:
         return data
-    known = _CODES
-    if len(known) > CACHE:
-        known.clear()
-    words = data.split()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_digest(w)
-    return b"".join(map(known.__getitem__, words))
+    # hashing a word again costs less than looking it up
+    return b"".join(map(xxhash.xxh3_64_digest, data.split()))
 
 
 def anchor_rows(length: int, gram: int, kind: str, unit: int = 1):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "id", "fp", "h", "q", "s", "e"]
         for b in sliced(batches):
-            rows: list[list] = [[] for _ in range(7)]
-            ids, cids = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                data = coded(b.column(2)[i].as_py(), unit)
-                if len(data) < length * unit:
-                    continue
-                for r in runs(data, length, gram, unit):
-                    rows[0].append(i)
-                    for x, v in zip(rows[1:], r, strict=False):
-                        x.append(v)
-                if len(rows[0]) > 200_000 or i == b.num_rows - 1:
-                    yield out(ids, cids, rows, names)
-                    rows = [[] for _ in range(7)]
-            if rows[0]:
-                yield out(ids, cids, rows, names)
-
-    def out(ids, cids, rows, names) -> pa.RecordBatch:
-        take = pa.array(rows[0], pa.int64())
-        return pa.RecordBatch.from_arrays([cids.take(take), ids.take(take), *[pa.array(x, pa.int64()) for x in rows[1:6]]], names=names)
+            found: list[tuple[np.ndarray, ...]] = []
+            size = 0
+            for i, t in enumerate(b.column(2)):
+                for r in run_arrays(coded(t.as_py(), unit), length, gram, unit):
+                    found.append((np.full(len(r[0]), i), *r))
+                    size += len(r[0])
+                    if size > 200_000:
+                        yield out(b, found, names)
+                        found, size = [], 0
+            if found:
+                yield out(b, found, names)
+
+    def out(b: pa.RecordBatch, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+        at, *rows = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(0).take(at), *rows], names=names)
 
     return task, f"cid binary, id {kind}, fp long, h long, q long, s long, e long"
 
@@ -249,6 +243,12 @@ def repeated_windows(length: int, unit: int = 1, first: bool = False):
         # rows of a group stand together in both orders, in the same place
         for a, z in zip(starts, [*starts[1:], len(rows)], strict=True):
             n = z - a
+            if n == 2:  # the windows that both rows hold are one range of offsets
+                left, right = (int(shared[a + 1]) // unit for _, shared in by)
+                x, y = max(int(lo[a:z].max()), length - right), min(int(hi[a:z].min()), left)
+                for r in rows[a + first : z] if x <= y else ():
+                    yield r["cid"], r["q"] - y, r["q"] - x + length
+                continue
             depth = np.arange(lo[a:z].min(), hi[a:z].max() + 1)
             classes = []
             for (order, shared), need in zip(by, (depth, length - depth), strict=True):
@@ -316,7 +316,8 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1, first: bool = False) -> DataFrame:
     """(cid, spans: array of (s, e)) for texts with repeated bytes, or words; ``own`` has id, cid and text.
 
-    With ``first``, the first of equal windows doesn't count, by id and then place; each row must have a cid of its own.
+    With ``first``, the first of equal windows doesn't count, by id and then place. Rows of one cid, which have one text, then
+    get the spans of the first of them; ids must be distinct.
     """
     kind = dict(own.dtypes)["id"]
     task, schema = anchor_rows(length, gram, kind, unit)
@@ -363,8 +364,14 @@ def repeat_spans(own: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: i
 
 
 def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, cid and text of the rows; ids are distinct and null keys come last. Rows are numbered only where a key repeats,
+    and written then, so that a number stays with its row."""
     text = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("cid"), text.alias("text"))
+    order = [F.col(key).isNull().alias("none"), F.col(key).alias("key")]
+    own = [F.unhex(F.md5(text.cast("binary"))).alias("cid"), text.alias("text")]
+    if docs.select(order[1]).groupBy("key").count().filter("count > 1").isEmpty():
+        return docs.select(F.struct(*order).alias("id"), *own)
+    return cut(docs.select(F.struct(*order, F.monotonically_increasing_id().alias("row")).alias("id"), *own), "repeat-docs")
 
 
 def _kept(data: bytes, cuts: list[list[int]]) -> list[bytes]:
@@ -378,37 +385,56 @@ def _text(pieces: list[bytes]) -> str:
     return "".join(k.decode("utf-8", "ignore") for k in pieces)
 
 
-def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, the hash of the bytes that stay, and the text that they are (characters
-    that lost a byte are left out)."""
+def repeat_digest(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = WORDS
+) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, the hash of the bytes that stay, the text that they are (kept_text;
+    characters that lost a byte are left out), and text: the document without passages of ``words`` words that also start
+    earlier, in a row of a smaller key or before in the text, so that each passage stays once."""
     own = _own(docs, key, text)
-    kind = dict(own.dtypes)["id"]
+    kind = dict(docs.select(key).dtypes)[key]
+    parts = {
+        "cuts": repeat_spans(own.withColumn("id", F.col("id.key")), length, gram),
+        "gone": repeat_spans(own, words, min(words, WORD_GRAM), WORD_UNIT, first=True),
+    }
+    copied = own.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select("cid", "first")
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*(x.withColumnRenamed("spans", k) for k, x in parts.items()), copied])
+    found = found.groupBy("cid").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("cuts", "gone", "first")))
     # the merge hint: texts move at every size, and a third of all texts may be one content
-    joined = own.join(repeat_spans(own, length, gram).hint("merge"), "cid", "left").select("id", "text", "spans")
+    later = F.coalesce(F.col("id") != F.col("first"), F.lit(False))
+    joined = own.join(found.hint("merge"), "cid", "left").select(F.col("id.key"), "text", "cuts", "gone", later)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             rows = []
-            for t, spans in zip(b.column(1), b.column(2), strict=True):
+            for t, *spans, again in zip(*b.columns[1:], strict=True):
                 data = _encode(t.as_py())
-                cuts = merged([(x["s"], x["e"]) for x in spans.as_py() or ()])
+                cuts, gone = ([(x["s"], x["e"]) for x in s.as_py() or ()] for s in spans)
+                cuts = merged(cuts)
                 kept = _kept(data, cuts)
                 sha = hashlib.sha256()
                 for k in kept:
                     sha.update(k)
-                rows.append((len(data), len(data) - sum(map(len, kept)), len(cuts), sha.hexdigest(), _text(kept)))
+                if again.as_py():
+                    n = len(data.split())
+                    gone = [(0, n)] if n >= words else []
+                first = _text(_kept(data, merged(word_places(data, gone)))) if gone else t.as_py()
+                left = _text(kept) if cuts else t.as_py()
+                rows.append((len(data), len(data) - sum(map(len, kept)), len(cuts), sha.hexdigest(), left, first))
             columns = zip(*rows, strict=True)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(columns, types, strict=True)]], names=names)
 
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    return joined.mapInArrow(task, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text"]
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, text string"
+    return joined.mapInArrow(task, f"`{key}` {kind}, {schema}")
 
 
 def word_places(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of words as spans of bytes, from the first word's start to the last word's end."""
-    at = [m.span() for m in _WORD.finditer(data)]
-    return [(at[s][0], at[e - 1][1]) for s, e in spans]
+    word = np.concatenate([[False], _IS_WORD[np.frombuffer(data, np.uint8)], [False]])
+    at = np.flatnonzero(word[1:] != word[:-1]).reshape(-1, 2)
+    return [(int(at[s, 0]), int(at[e - 1, 1])) for s, e in spans]
 
 
 def remove_repeats(

@@ -65,6 +65,27 @@ def test_repeats(spark, monkeypatch, length, split):
     assert all(g["n_bytes"] - g["n_removed"] - 8 <= len(g["kept_text"].encode()) <= g["n_bytes"] - g["n_removed"] for g in got)
 
 
+@pytest.mark.parametrize("split,hot", [(256, 4096), (1, 2)])
+def test_repeats_of_words_stay_once(spark, monkeypatch, split, hot):
+    """Beside the bytes, the text in which of equal passages of words the first stays, also among copies, repeated rows and
+    rows without an id; and a passage of 51 words in under 400 bytes, which no window of bytes reaches."""
+    monkeypatch.setattr(substring_dedup, "SPLIT", split)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    for rows in (passages(), [(100 - i, t) for i, (_, t) in enumerate(passages())]):
+        got = substring_dedup.repeat_digest(frame(spark, rows).coalesce(1), length=100, words=20).collect()
+        want = [(k, t or "") for (k, _), t in zip(rows, first_kept(rows, 10**9, 20), strict=True)]
+        by = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert sorted(((g["doc_id"], g["text"]) for g in got), key=by) == sorted(want, key=by)
+        assert sorted(g["kept_sha256"] for g in got) == sorted(x[3] for x in repeats([t for _, t in rows], 100))
+    small = " ".join(f"é{i}" for i in range(51))
+    assert len(small.encode()) < 400
+    texts = [f"own{i} {small} end{i}" for i in range(3)]
+    got = {g["doc_id"]: g for g in substring_dedup.repeat_digest(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i]["n_removed"] for i in range(3)] == [0] * 3
+    assert [got[i]["text"] for i in range(3)] == [texts[0], "own1  end1", "own2  end2"]
+
+
 @pytest.mark.parametrize("split,hot,words", [(256, 4096, None), (4, 2, 20), (1, 1, 20), (1, 4096, 20)])
 def test_first_repeats_stay(spark, monkeypatch, split, hot, words):
     """Against brute force, also with anchors split, single offsets, and keys joined apart; names that the operator uses."""
